@@ -353,7 +353,7 @@ def write_tokens(tokens: DataFrame, lengths: np.ndarray, folder: str) -> DataFra
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return (
         tokens.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
-        .mapInArrow(work, "part int, file string, docs bigint, tokens bigint")
+        .mapInArrow(work, "part bigint, file string, docs bigint, tokens bigint")
     )
 
 
