@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op3_decontamination
 from .huffman import op7_token_files
 from .simhash import op1_simhash
 from .warc import op10_warc
@@ -14,6 +15,7 @@ from .warc import op10_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op3_decontamination": op3_decontamination,
         "op7_token_files": op7_token_files,
         "op10_warc": op10_warc,
     }
