@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op3_decontamination
 from .huffman import op7_token_files
+from .language import op6_language
+from .pii import op4_pii
+from .quality import op9_quality
 from .simhash import op1_simhash
 from .warc import op10_warc
 
@@ -16,7 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_decontamination": op3_decontamination,
+        "op4_pii": op4_pii,
+        "op6_language": op6_language,
         "op7_token_files": op7_token_files,
+        "op9_quality": op9_quality,
         "op10_warc": op10_warc,
     }
 
