@@ -17,10 +17,12 @@ codes follow from the lengths alone.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -203,25 +205,27 @@ def read_blocks(stream, lengths: np.ndarray) -> Iterator[tuple[int | None, bool,
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, a distinct word at a time.
 
-    The vocabulary's pattern never matches across a space and looks neither ahead nor
-    back, and its added tokens hold no space, so a text's ids are those of its pieces
-    between spaces, one after the other.  Pieces are remembered; the memory is
-    emptied when it holds ``most`` of them.  A new piece of Latin letters is lower-cased and
-    cut by the vocabulary's own pattern here, and the library's model encodes the
-    cuts not met yet; any other piece goes through the whole library.
+    The vocabulary's pattern matches no white space and looks neither ahead nor back, so a
+    text's ids are those of the pattern's cuts, one after the other.  A text of
+    Latin-1 letters in normal form C is lower-cased and cut here, and the
+    library's model encodes the cuts not met yet; any other text goes through the whole
+    library, each piece between spaces on its own.  What was encoded is
+    remembered, and forgotten when there are ``most`` entries.
     """
 
-    LATIN = 0x250  # below it, lower-casing has no context and the pattern's classes are settled
+    LETTERS = "A-Za-zªµº\xc0-\xd6\xd8-\xf6\xf8-\xff"
+    NUMBERS = "0-9²³¹¼½¾"
 
-    def __init__(self, path: str, most: int = 1_000_000):
-        import regex
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self._path = path
+        self.path = path
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.cut = re.compile(
+            f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[{self.NUMBERS}]|[^{self.LETTERS}{self.NUMBERS}\t-\r \x85\xa0]+"
+        ).findall
         # the byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in shown]
@@ -231,45 +235,51 @@ class WordEncoder:
         self.most = most
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.flat = np.zeros(0, np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32)
         self.known: dict[str, int] = {}
-        self.cuts: dict[str, list[int]] = {}
-
-    def ids_of(self, word: str) -> list[int]:
-        if "<|" in word or (not word.isascii() and (ord(max(word)) >= self.LATIN or not is_normalized("NFC", word))):
-            return self.library.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for cut in self.pattern.findall(word.lower()):
-            ids = self.cuts.get(cut)
-            if ids is None:
-                shown = cut if cut.isascii() and cut.isprintable() else cut.encode().decode("latin-1").translate(self.bytes)
-                ids = self.cuts[cut] = [t.id for t in self.model.tokenize(shown)]
-            out += ids
-        return out
 
-    def learn(self, words: list[str]) -> None:
-        rows = [self.ids_of(w) for w in words]
+    def cuts(self, text: str) -> list[str]:
+        """What to look up, in order; a piece for the whole library opens with a space, which no cut does."""
+        if "<|" not in text:
+            if text.isascii():
+                return self.cut(text.lower())
+            try:
+                text.encode("latin-1")
+                if is_normalized("NFC", text):
+                    return self.cut(text.lower())
+            except UnicodeEncodeError:
+                pass
+        return [" " + piece for piece in text.split(" ") if piece]
+
+    def learn(self, cuts: set[str]) -> None:
+        rows = []
+        for cut in cuts:
+            if cut[0] == " ":
+                rows.append(self.library.encode(cut[1:], add_special_tokens=False).ids)
+            else:
+                shown = cut if cut.isascii() and cut.isprintable() else cut.encode().decode("latin-1").translate(self.bytes)
+                rows.append([t.id for t in self.model.tokenize(shown)])
         size = np.array([len(r) for r in rows], np.int64)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.known.update(zip(cuts, range(len(self.known), len(self.known) + len(rows)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for r in rows for i in r), np.uint32)])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for r in rows for i in r), self.flat.dtype)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         if len(self.known) > self.most:
-            self.__init__(self._path, self.most)
-        words = " ".join(texts).split(" ")
+            self.__init__(self.path, self.most)
+        split = [self.cuts(t) for t in texts]
+        cuts = list(chain.from_iterable(split))
         try:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            at = np.fromiter(map(self.known.__getitem__, cuts), np.int64, len(cuts))
         except KeyError:
-            self.learn(sorted(set(words).difference(self.known)))
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self.learn(set(cuts).difference(self.known))
+            at = np.fromiter(map(self.known.__getitem__, cuts), np.int64, len(cuts))
         size = self.size[at]
-        end = np.cumsum(size)
-        pick = np.arange(int(end[-1]) if len(end) else 0) + np.repeat(self.start[at] - (end - size), size)
-        cuts = np.cumsum([t.count(" ") + 1 for t in texts])
-        return self.flat[pick], np.diff(end[cuts - 1], prepend=0)
+        end = np.concatenate([[0], np.cumsum(size)])
+        pick = np.arange(int(end[-1])) + np.repeat(self.start[at] - end[:-1], size)
+        return self.flat[pick], np.diff(end[np.cumsum([len(s) for s in split])], prepend=0)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -282,8 +292,14 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def id_type(path: str) -> str:
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids binary of little-endian u32) of every whole text and END_ID; a null text is empty."""
+    """(doc_id, ids: little-endian u16, or u32 for more than 65,536 ids) of every whole text and END_ID; a null text is empty."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         for batch in batches:
@@ -292,8 +308,8 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids, sizes = encoder.encode(texts)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
-                end = np.array([END_ID], "<u4").tobytes()
-                rows = [ids[a:b].astype("<u4").tobytes() + end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                end = np.array([END_ID], ids.dtype).tobytes()
+                rows = [ids[a:b].tobytes() + end for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
@@ -301,13 +317,13 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     )
 
 
-def count_ids(tokens: DataFrame) -> np.ndarray:
+def count_ids(tokens: DataFrame, kind: str) -> np.ndarray:
     """Count of every id over all documents: at most a row an id of the vocabulary."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for row in batch.column(0):
-                own = np.bincount(np.frombuffer(row.as_buffer(), "<u4"))
+                own = np.bincount(np.frombuffer(row.as_buffer(), kind))
                 if len(own) > len(total):
                     own, total = total, own
                 total[: len(own)] += own
@@ -320,7 +336,7 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
-def write_tokens(tokens: DataFrame, lengths: np.ndarray, folder: str) -> DataFrame:
+def write_tokens(tokens: DataFrame, kind: str, lengths: np.ndarray, folder: str) -> DataFrame:
     """Write ``tokens`` as files in ascending doc_id order; the manifest (part, file, docs, tokens).
 
     Files are ranges of doc_id: part k holds smaller ids than part k + 1.  Null ids come
@@ -340,7 +356,7 @@ def write_tokens(tokens: DataFrame, lengths: np.ndarray, folder: str) -> DataFra
                     store.create_dir(root)
                     stream = store.open_output_stream(f"{root}/{name}", compression=None)
                     writer = Writer(stream, np.frombuffer(packed, np.uint8))
-                writer.add(doc_id, np.frombuffer(ids.as_buffer(), "<u4"))
+                writer.add(doc_id, np.frombuffer(ids.as_buffer(), kind))
                 docs += 1
         if writer is not None:
             writer.flush()
@@ -399,9 +415,9 @@ def read_tokens(manifest: DataFrame, lengths: np.ndarray) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    folder = scratch(spark, "tokens")
-    docs = table(spark, sf_dir, "documents")
-    tokens, _ = stored(tokenize(docs, public_tokenizers.path("word_bpe_49k.json")), "ids")
-    lengths = code_lengths(count_ids(tokens))
-    manifest, _ = stored(write_tokens(tokens, lengths, folder), "manifest")
+    folder, path = scratch(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json")
+    kind = id_type(path)
+    tokens, _ = stored(tokenize(table(spark, sf_dir, "documents"), path), "ids")
+    lengths = code_lengths(count_ids(tokens, kind))
+    manifest, _ = stored(write_tokens(tokens, kind, lengths, folder), "manifest")
     return read_tokens(manifest, lengths)
