@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op3_decontamination
 from .huffman import op7_token_files
+from .imatch import op5_imatch
 from .language import op6_language
 from .pii import op4_pii
 from .quality import op9_quality
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op3_decontamination": op3_decontamination,
         "op4_pii": op4_pii,
+        "op5_imatch": op5_imatch,
         "op6_language": op6_language,
         "op7_token_files": op7_token_files,
         "op9_quality": op9_quality,
