@@ -10,6 +10,7 @@ from .decontaminate import op3_decontamination
 from .huffman import op7_token_files
 from .imatch import op5_imatch
 from .language import op6_language
+from .pieces import op8_pieces
 from .pii import op4_pii
 from .quality import op9_quality
 from .simhash import op1_simhash
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_imatch": op5_imatch,
         "op6_language": op6_language,
         "op7_token_files": op7_token_files,
+        "op8_pieces": op8_pieces,
         "op9_quality": op9_quality,
         "op10_warc": op10_warc,
     }
