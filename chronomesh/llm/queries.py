@@ -10,6 +10,7 @@ from .decontaminate import op3_decontamination
 from .huffman import op7_token_files
 from .imatch import op5_imatch
 from .language import op6_language
+from .lines import op2_lines
 from .pieces import op8_pieces
 from .pii import op4_pii
 from .quality import op9_quality
@@ -20,6 +21,7 @@ from .warc import op10_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_lines": op2_lines,
         "op3_decontamination": op3_decontamination,
         "op4_pii": op4_pii,
         "op5_imatch": op5_imatch,
