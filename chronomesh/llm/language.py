@@ -123,7 +123,7 @@ class Model:
             for key, c in counts:
                 short, back = np.unique(key & mask, return_inverse=True)
                 own.append((short, np.bincount(back, c, len(short)) if len(short) else np.zeros(0)))
-            keys = np.unique(np.concatenate([s for s, _ in own]))
+            keys = np.unique(np.concatenate([s for s, _ in own] or [np.zeros(0, np.uint64)]))
             contexts = np.unique(keys >> np.uint64(8))
             cost, escape = np.zeros((len(keys), n), np.float32), np.zeros((len(contexts), n), np.float32)
             for j, (short, c) in enumerate(own):
@@ -253,9 +253,13 @@ def trained(docs: DataFrame) -> str:
 def keep_known(docs: DataFrame) -> DataFrame:
     """Documents in one of the languages, columns as they are: a letter, and MAX_BITS a byte or fewer.
 
-    Predictions are joined by doc_id; of rows that repeat one, all stay if any is accepted.
+    Predictions are joined by doc_id; of rows that repeat one, all stay if any is accepted.  If no
+    document tells a language, none can be judged and all stay.
     """
-    found = predict(docs, trained(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= MAX_BITS))
+    uri = trained(docs)
+    if not Model.load(uri).langs:
+        return docs
+    found = predict(docs, uri).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= MAX_BITS))
     kept, _ = stored(found.select("doc_id").distinct(), "known")
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
 
