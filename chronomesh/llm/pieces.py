@@ -37,7 +37,7 @@ NEVER = -np.inf
 class Pieces:
     """The piece model: ranks, merging, and which neighbours stand."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 100_000):
         import sentencepiece
 
         self.path, self.most = path, most
