@@ -370,16 +370,16 @@ def ricci_report(spark: SparkSession, d: str) -> DataFrame:
     return S.ricci_report(S.ricci(embedding_graph(spark, d, 0.05)))
 
 
-@register("dice_curvature", f"""{GRAPH}, l AS (SELECT DISTINCT LEAST(src, dst) AS u, GREATEST(src, dst) AS v FROM edges WHERE w >= 0.03), s AS (SELECT u AS node, v AS at FROM l UNION ALL SELECT v, u FROM l),
+@register("dice_curvature", f"""{GRAPH}, l AS (SELECT DISTINCT LEAST(src, dst) AS u, GREATEST(src, dst) AS v FROM edges WHERE w >= 0.03), s AS (SELECT u AS node, v AS pt FROM l UNION ALL SELECT v, u FROM l),
  dg AS (SELECT node, count(*) AS c FROM s GROUP BY node)
- SELECT u, v, round(2.0 * (SELECT count(*) FROM s p JOIN s q ON p.at = q.at WHERE p.node = u AND q.node = v) / (p.c + q.c), 6) AS curvature FROM l JOIN dg p ON p.node = u JOIN dg q ON q.node = v""")
+ SELECT u, v, round(2.0 * (SELECT count(*) FROM s p JOIN s q ON p.pt = q.pt WHERE p.node = u AND q.node = v) / (p.c + q.c), 6) AS curvature FROM l JOIN dg p ON p.node = u JOIN dg q ON q.node = v""")
 def dice_curvature(spark: SparkSession, d: str) -> DataFrame:
     return S.dice_curvature(embedding_graph(spark, d), 0.03).select("u", "v", r6("curvature"))
 
 
-@register("info_geometry", f"""{SPARSE}, l AS (SELECT DISTINCT LEAST(src, dst) AS u, GREATEST(src, dst) AS v FROM edges), s AS (SELECT u AS node, v AS at FROM l UNION ALL SELECT v, u FROM l),
- mu AS (SELECT node, at, 0.5 / count(*) OVER (PARTITION BY node) AS p FROM s UNION ALL SELECT DISTINCT node, node, 0.5 FROM s), en AS (SELECT node, sum(-p * ln(p)) AS h FROM mu GROUP BY node),
- pq AS (SELECT coalesce(a.u, c.u) AS u, coalesce(a.v, c.v) AS v, coalesce(a.p, 0) AS p, coalesce(c.p, 0) AS q FROM (SELECT u, v, at, p FROM l JOIN mu ON node = u) a FULL JOIN (SELECT u, v, at, p FROM l JOIN mu ON node = v) c ON a.u = c.u AND a.v = c.v AND a.at = c.at)
+@register("info_geometry", f"""{SPARSE}, l AS (SELECT DISTINCT LEAST(src, dst) AS u, GREATEST(src, dst) AS v FROM edges), s AS (SELECT u AS node, v AS pt FROM l UNION ALL SELECT v, u FROM l),
+ mu AS (SELECT node, pt, 0.5 / count(*) OVER (PARTITION BY node) AS p FROM s UNION ALL SELECT DISTINCT node, node, 0.5 FROM s), en AS (SELECT node, sum(-p * ln(p)) AS h FROM mu GROUP BY node),
+ pq AS (SELECT coalesce(a.u, c.u) AS u, coalesce(a.v, c.v) AS v, coalesce(a.p, 0) AS p, coalesce(c.p, 0) AS q FROM (SELECT u, v, pt, p FROM l JOIN mu ON node = u) a FULL JOIN (SELECT u, v, pt, p FROM l JOIN mu ON node = v) c ON a.u = c.u AND a.v = c.v AND a.pt = c.pt)
  SELECT u AS src, v AS dst, round(any_value(hu.h), 6) AS entropy_src, round(any_value(hv.h), 6) AS entropy_dst, round(sum(CASE WHEN p > 0 THEN p * ln(p / CASE WHEN q > 0 THEN q ELSE 1e-10 END) ELSE 0 END), 5) AS kl_uv,
  round(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) AS js_div, round(2 * acos(LEAST(1.0, sum(sqrt(p * q)))), 5) AS fisher_rao
  FROM pq JOIN en hu ON hu.node = u JOIN en hv ON hv.node = v GROUP BY u, v""")
