@@ -411,8 +411,8 @@ def token_domain(spark: SparkSession, d: str) -> DataFrame:
     return C.token_domains(corpus(spark, d))
 
 
-PAIRS = f"""WITH {TOKENS}, sq AS (SELECT domain, word, row_number() OVER (PARTITION BY domain ORDER BY doc_id, pos) AS at FROM tk),
- o AS (SELECT p.word AS a, q.word AS b, count(*) AS n FROM sq p JOIN (SELECT unnest(range(1, 6)) AS k) ON true JOIN sq q ON q.domain = p.domain AND q.at = p.at + k WHERE p.word <> q.word GROUP BY ALL),
+LEADS = " UNION ALL ".join(f"SELECT word AS a, lead(word, {k}) OVER (PARTITION BY domain ORDER BY doc_id, pos) AS b FROM tk" for k in range(1, 6))
+PAIRS = f"""WITH {TOKENS}, o AS (SELECT a, b, count(*) AS n FROM ({LEADS}) WHERE b IS NOT NULL AND a <> b GROUP BY ALL),
  co AS (SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT a, b, n FROM o UNION ALL SELECT b, a, n FROM o) GROUP BY ALL)"""
 VOCAB = "vc AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS token_id FROM (SELECT word, count(*) AS n FROM tk GROUP BY word HAVING count(*) >= 5) ORDER BY n DESC, word LIMIT 2000)"
 PMI = f"""{PAIRS}, {VOCAB}, ij AS (SELECT p.token_id AS i, q.token_id AS j, n FROM co JOIN vc p ON p.word = a JOIN vc q ON q.word = b), ri AS (SELECT i, CAST(sum(n) AS DOUBLE) AS r FROM ij GROUP BY i), tt AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM ij),
