@@ -34,11 +34,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to shared storage and read it back: cuts lineage, outlives executors."""
+    """Write ``df`` to shared storage and read it back: cuts lineage, outlives executors.
+
+    The shuffle files behind the table are removed once it is written, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
