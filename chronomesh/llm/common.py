@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key() -> Column:
+    """A number of a document's doc_id and text that is never null: rows are told apart by it where doc_ids are null or repeated."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the store that driver and executors share.
 
@@ -118,3 +124,43 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for path in paths:
         drop_path(spark, path)
     return label
+
+
+STARS = 2  # rounds of comparison with one member of a bucket before all pairs between components
+
+
+def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of the components that ``similar`` links between members (key, id, n) of a bucket.
+
+    ``similar`` stores those of its pairs (a, b) that are alike.  A bucket is first compared with its most frequent
+    member alone; only what that leaves in different components is compared further.
+    """
+    spark = members.sparkSession
+    edges, label = None, None
+    for turn in range(STARS + 1):
+        if turn:
+            named = members.join(label.withColumnRenamed("node", "id"), "id", "left").select(
+                "key", "id", "n", F.coalesce("component", "id").alias("part")
+            )
+            open_keys = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+            members, _ = stored(
+                named.join(open_keys.where("low < high").select("key"), "key", "left_semi"), "open"
+            )
+        else:
+            members = members.withColumn("part", F.col("id"))
+        if members.isEmpty():
+            break
+        if turn < STARS:
+            hub = members.groupBy("key").agg(F.max_by(F.struct("id", "part"), "n").alias("hub"))
+            pairs = members.join(hub, "key").where("part <> hub.part").select("id", F.col("hub.id").alias("other"))
+            # the hub has met all its bucket
+            rest = members.join(hub.select("key", F.col("hub.id").alias("id")), ["key", "id"], "left_anti")
+        else:
+            other = members.select("key", F.col("id").alias("other"), F.col("part").alias("part_o"))
+            pairs, rest = members.join(other, "key").where("part < part_o").select("id", "other"), None
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        found = similar(pairs)
+        edges = found if edges is None else edges.union(found)
+        label = components(edges)
+        members = rest.select("key", "id", "n") if rest is not None else members
+    return spark.createDataFrame([], "node bigint, component bigint") if label is None else label

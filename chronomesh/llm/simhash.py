@@ -10,6 +10,10 @@ Links are sought between distinct fingerprints.  Buckets of at most ``BUCKET``
 fingerprints are joined with the tests as join conditions.  The fingerprints of larger buckets
 go an exact other way: any two at distance 2 or less share a point at distance 1
 or less of both, and no point has more than 65 such fingerprints.
+
+That is op1.  The pipeline's stage asks for a likeness of ``LIKENESS`` of five-word shingles, which
+64 bits can't tell: such pairs differ in ten bits and more.  It finds candidates by
+MinHash bands and decides by the exact Jaccard likeness of the shingle sets.
 """
 
 from __future__ import annotations
@@ -23,11 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, linked, row_key, stored, table
+from .words import mix
 
 SEED, SHINGLE = 42, 3
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
 BUCKET = 64
+WORDS, LIKENESS = 5, 0.8  # of the stage
+BANDS, ROWS = 20, 4  # a pair of likeness 0.8 is missed in all bands 3 times in 100,000
 PIECE = 4 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -145,23 +152,111 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(named.join(name, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def word_shingles(text: str | None) -> np.ndarray:
+    """Distinct hashes of the WORDS-word shingles, ascending; fewer words are one shingle, and no word is none."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    found, short = [], []
+    for words in word_runs((text or "").encode().lower(), WORDS - 1):
+        if len(words) < WORDS:
+            short = words
+            continue
+        runs = zip(*(words[k:] for k in range(WORDS)))
+        found.append(np.fromiter((digest(b" ".join(r), SEED) for r in runs), np.uint64, len(words) - WORDS + 1))
+    if not found:
+        return np.array([digest(b" ".join(short), SEED)] if short else [], np.uint64)
+    return np.unique(np.concatenate(found))
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each band of the MinHash minima of a shingle set that is not empty."""
+    odd = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))[:, None] | np.uint64(1)
+    xor = mix(np.arange(1001, BANDS * ROWS + 1001, dtype=np.uint64))[:, None]
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 1 << 13):
+        np.minimum(low, ((own[k : k + (1 << 13)] ^ xor) * odd).min(axis=1), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        key = mix(key ^ mix(column))
+    return key.astype(np.int64)
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, id, bands) of every document: id stands for its set of shingles."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            ids, bands = [], []
+            for t in batch.column(2):
+                own = word_shingles(t.as_py())
+                ids.append(int.from_bytes(xxhash.xxh64_digest(own.tobytes(), SEED), "big", signed=True))
+                bands.append(band_keys(own) if len(own) else [])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["row", "doc_id", "id", "bands"],
+            )
+
+    own = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(work, "row bigint, doc_id bigint, id bigint, bands array<bigint>")
+
+
+def similar_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``texts`` (at, text) whose shingle sets have a Jaccard likeness of LIKENESS or more, stored."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[int, np.ndarray] = {}
+            held, keep = 0, []
+            for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if held > 1 << 22:  # hashes kept of the texts met so far
+                    sets, held = {}, 0
+                for at, column in ((a, 2), (b, 3)):
+                    if at not in sets:
+                        sets[at] = word_shingles(batch.column(column)[k].as_py())
+                        held += len(sets[at])
+                n, m = len(sets[a]), len(sets[b])
+                if min(n, m) < LIKENESS * max(n, m):
+                    continue
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if common >= LIKENESS * (n + m - common):
+                    keep.append(k)
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+    both = (
+        pairs.join(texts.select(F.col("at").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("at").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    )
+    return stored(both.mapInArrow(work, "a bigint, b bigint"), "similar")[0]
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that name their component: one of each group, all columns as they are.
+    """One document of each group of near copies, the one with the smallest doc_id, all columns as they are.
 
-    Of rows that repeat such a doc_id the one with the least text stays.
+    Near copies have a Jaccard likeness of LIKENESS or more of their WORDS-word shingles, and a group is what
+    such links reach.  Texts without a word are one group.  Null doc_ids come after all others; rows that
+    repeat a doc_id are judged one by one, and rows alike in doc_id and text are copies.
     """
-    found = near_duplicates(docs)
-    names, _ = stored(found.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    kept = docs.join(names, "doc_id", "left_semi").select(docs.columns)
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    twice, _ = stored(twice, "twice")
+    own, _ = stored(shingle_sets(docs), "sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    one, _ = stored(own.groupBy("id").agg(first, F.count("*").alias("n"), F.any_value("bands").alias("bands")), "distinct")
+    keys = one.select(F.explode("bands").alias("key"), "id", "n")
+    many = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    members, _ = stored(keys.join(many, "key", "left_semi"), "members")
+    wanted = one.join(members.select("id").distinct(), "id", "left_semi").select(F.col("first.row").alias("row"), F.col("id").alias("at"))
+    texts = docs.select(row_key().alias("row"), F.col("text").cast("string").alias("text")).join(wanted, "row")
+    texts, _ = stored(texts.groupBy("at").agg(F.any_value("text").alias("text")), "texts")
+    label = linked(members, lambda pairs: similar_texts(pairs, texts))
+    named = one.join(label.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
+    names = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    names, _ = stored(names, "kept")
+    kept = docs.withColumn("_row", row_key()).join(names, "_row", "left_semi")
+    twice, _ = stored(own.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_row")), "twice")
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice, "doc_id", "left_semi").select(docs.columns)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).union(
-        again.withColumn("_nth", first).where("_nth = 1").select(docs.columns)
-    )
+        return kept.select(docs.columns)
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy("text"))
+    again = kept.join(twice, "_row", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
+    return kept.join(twice, "_row", "left_anti").select(docs.columns).union(again)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,33 @@ def test_simhash_keeps_one_of_each(docs):
     assert len(kept) == len(set(kept)) and 900 in kept and not set(kept) & {100, 101, 102, 103}
 
 
+def test_near_copies_of_the_stage(spark):
+    import corpus_pipeline
+
+    rows = []
+    for k in range(20):
+        base = prose(k, 120).split()
+        rows.append((10 * k, " ".join(base)))
+        for j in range(1, 6):
+            near = list(base)
+            for at in random.Random(100 * k + j).sample(range(120), j):
+                near[at] = f"new{k}x{j}x{at}"
+            rows.append((10 * k + j, " ".join(near)))
+    rows += [(None, prose(500, 60)), (None, prose(501, 60)), (None, rows[0][1]), (None, ""), (990, "")]
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [grams(t) for _, t in rows]
+    root = union_find(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    want = {rows[k] for k in range(len(rows)) if root[k] == k}
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "").collect()
+    assert {(r.doc_id, r.text) for r in got} == want and len(got) == len(want) < len(rows) - 40
+    assert {t for d, t in want if d is None} == {prose(500, 60), prose(501, 60)}
+
+
 def test_pigeonring_chain_is_complete():
     rng = random.Random(1)
     for _ in range(500):
