@@ -129,11 +129,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 STARS = 2  # rounds of comparison with one member of a bucket before all pairs between components
 
 
+def hubs(members: DataFrame) -> DataFrame:
+    """(key, hub) of members (key, id, n, part): the most frequent, of equals the one with the smallest id."""
+    order = F.struct("n", F.bitwise_not("id").alias("less"))
+    return members.groupBy("key").agg(F.max_by(F.struct("id", "part"), order).alias("hub"))
+
+
 def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of the components that ``similar`` links between members (key, id, n) of a bucket.
 
     ``similar`` stores those of its pairs (a, b) that are alike.  A bucket is first compared with its most frequent
-    member alone; only what that leaves in different components is compared further.
+    member alone; only what that leaves in different components is compared further.  A turn's hubs are
+    stored, so that the member left out as having met its bucket is the one that met it.
     """
     spark = members.sparkSession
     edges, label = None, None
@@ -151,7 +158,7 @@ def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> Dat
         if members.isEmpty():
             break
         if turn < STARS:
-            hub = members.groupBy("key").agg(F.max_by(F.struct("id", "part"), "n").alias("hub"))
+            hub, _ = stored(hubs(members), "hubs")
             pairs = members.join(hub, "key").where("part <> hub.part").select("id", F.col("hub.id").alias("other"))
             # the hub has met all its bucket
             rest = members.join(hub.select("key", F.col("hub.id").alias("id")), ["key", "id"], "left_anti")

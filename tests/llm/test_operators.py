@@ -64,6 +64,27 @@ def test_components(spark):
     assert got == {k: want[k] for k in {x for p in pairs if p[0] != p[1] for x in p}}
 
 
+def test_hub_is_one_line_in_both_jobs(spark):
+    # each plan of members sees its rows in another order, as after a lost executor
+    met = set()
+
+    def shuffled(batches):
+        rng = random.SystemRandom()
+        for batch in batches:
+            yield batch.take(rng.sample(range(len(batch)), len(batch)))
+
+    def similar(pairs):
+        got = {tuple(r) for r in pairs.collect()}
+        met.update(got)
+        return spark.createDataFrame(sorted(got & links), "a bigint, b bigint")
+
+    rows = [(key, 3 * key + k, 1) for key in range(40) for k in range(3)]
+    links = {(3 * key + 1, 3 * key + 2) for key in range(40)}
+    members = spark.createDataFrame(rows, "key bigint, id bigint, n bigint").repartition(1).mapInArrow(shuffled, "key bigint, id bigint, n bigint")
+    label = {r.node: r.component for r in common.linked(members, similar).collect()}
+    assert links <= met and label == {x: a for a, b in links for x in (a, b)}
+
+
 @pytest.mark.parametrize("bucket", [64, 1])
 def test_simhash(docs, rows, empty, monkeypatch, bucket):
     import xxhash
