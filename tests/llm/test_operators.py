@@ -165,6 +165,19 @@ def test_lines(docs, rows, empty):
     assert lines.dedup_lines(docs).columns == docs.columns and lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_with_one_edit(spark):
+    rng, rows, want = random.Random(8), [], set()
+    for k in range(120):
+        base = prose(7000 + k, 60)[: 50 + k % 50]
+        at = rng.randrange(8, len(base) - 8)
+        rows.append((2 * k, base))
+        rows.append((2 * k + 1, base[:at] + "#" + base[at + 1 :]))
+        a, b = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (rows[-2][1], rows[-1][1]))
+        want |= {2 * k} if len(a & b) >= 0.8 * len(a | b) else {2 * k, 2 * k + 1}
+    kept = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id for r in kept if r.text} == want and len(want) < 125
+
+
 def test_decontamination(spark, docs, rows, empty):
     whole = rows[3][1].split()
     items = [(1, " ".join(whole[10:40])), (2, "X, ".join(whole[45:70]).replace("X", "")), (3, prose(999, 30)), (4, None), (5, "one two")]
