@@ -113,6 +113,12 @@ def product_chain_norm(sites: DataFrame) -> DataFrame:
     return sites.select("chain", F.aggregate("data", F.lit(0.0), lambda s, v: s + v * v).alias("q")).groupBy("chain").agg(F.product("q").alias("norm_sq"))
 
 
+def product_chain_log_norm(sites: DataFrame) -> DataFrame:
+    """The logarithm of ``product_chain_norm``, for chains of any length."""
+    q = F.aggregate("data", F.lit(0.0), lambda s, v: s + v * v)
+    return sites.groupBy("chain").agg(F.sum(F.log(q)).alias("log_norm_sq"))
+
+
 def largest_bond(sites: DataFrame) -> DataFrame:
     return sites.groupBy("chain").agg(F.max(F.greatest(F.col("shape")[0], F.col("shape")[2])).alias("bond"))
 

@@ -591,6 +591,13 @@ def mps_product_norm(spark: SparkSession, d: str) -> DataFrame:
     return K.product_chain_norm(sites).select("chain", r6("norm_sq"))
 
 
+@register("mps_product_log_norm", """WITH s AS (SELECT label, list_sum(list_transform(embedding[1:2], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) + 1 AS q FROM embeddings) SELECT label AS chain, round(sum(ln(q)), 6) AS log_norm_sq FROM s GROUP BY label""")
+def mps_product_log_norm(spark: SparkSession, d: str) -> DataFrame:
+    """As mps_product_norm, of every vector: logarithms, as the product leaves the range of doubles."""
+    own = table(spark, d, "embeddings").select(F.col("label").alias("chain"), F.col("vec_id").alias("site"), F.array(F.lit(1), F.lit(3), F.lit(1)).alias("shape"), F.concat(F.array(F.lit(1.0)), F.slice(F.col("embedding").cast("array<double>"), 1, 2)).alias("data"))
+    return K.product_chain_log_norm(own).select("chain", r6("log_norm_sq"))
+
+
 @register("primes", "WITH n AS (SELECT unnest(range(2, 5001)) AS p) SELECT p FROM n WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 71)) AS q) WHERE q < p AND p % q = 0)")
 def primes(spark: SparkSession, d: str) -> DataFrame:
     return N.primes(spark, 5000)
