@@ -543,6 +543,13 @@ def hadamard_rotate(spark: SparkSession, d: str) -> DataFrame:
     return own.where("i % 9 = 0").select("vec_id", "i", F.round("v", 5).alias("v"))
 
 
+@register("hadamard_rotate_all", """WITH x AS (SELECT vec_id, j, CAST(embedding[j + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) t(j)) SELECT vec_id, CAST(i AS INTEGER) AS i, round(sum(v * (1 - 2 * (bit_count(i & j) % 2))) / 8, 5) AS v FROM x, range(0, 64) u(i) GROUP BY ALL""")
+def hadamard_rotate_all(spark: SparkSession, d: str) -> DataFrame:
+    """All 64 coordinates; hadamard_rotate has every ninth, as its SQL."""
+    own = doubles(spark, d).select("vec_id", F.posexplode(V.hadamard(F.col("v"))).alias("i", "v"))
+    return own.select("vec_id", "i", F.round("v", 5).alias("v"))
+
+
 @register("softmax_geometry", """WITH x AS (SELECT vec_id, k, CAST(embedding[k] AS DOUBLE) * 5 AS a, CAST(embedding[k + 4] AS DOUBLE) * 5 AS b FROM embeddings, range(1, 5) t(k)), s AS (SELECT vec_id, exp(a) / sum(exp(a)) OVER w AS p, exp(b) / sum(exp(b)) OVER w AS q FROM x WINDOW w AS (PARTITION BY vec_id))
  SELECT vec_id, round(sum(p * ln(p / q)), 6) AS kl, round(2 * acos(LEAST(1.0, sum(sqrt(p * q)))), 5) AS fisher_rao, round(sum(p * (1 - p)), 6) AS fisher FROM s GROUP BY vec_id""")
 def softmax_geometry(spark: SparkSession, d: str) -> DataFrame:

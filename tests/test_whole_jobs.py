@@ -25,3 +25,7 @@ def both(spark, name):
 def test_product_norm_of_all_vectors(spark):
     n = spark.read.parquet(f"{D}/embeddings.parquet").select("label").distinct().count()
     assert len(both(spark, "mps_product_log_norm")) == n
+
+
+def test_rotation_has_all_coordinates(spark):
+    assert {i for _, i, _ in both(spark, "hadamard_rotate_all")} == set(range(64))
