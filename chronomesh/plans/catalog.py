@@ -419,25 +419,40 @@ PMI = f"""{PAIRS}, {VOCAB}, ij AS (SELECT p.token_id AS i, q.token_id AS j, n FR
  pm AS (SELECT ij.i, ij.j, GREATEST(0.0, ln(GREATEST(1e-10, CAST(n AS DOUBLE) * total / (p.r * q.r)))) AS pmi FROM ij JOIN ri p ON p.i = ij.i JOIN ri q ON q.i = ij.j, tt)"""
 
 
+PMI_ALL = PMI.replace("LIMIT 2000)", "LIMIT 20000)")
+
+
 @register("cooccurrence", f"{PAIRS} SELECT a, b, n FROM co")
 def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return C.cooccurrence(corpus(spark, d))
 
 
-def pmi_rows(spark: SparkSession, d: str) -> DataFrame:
+def pmi_rows(spark: SparkSession, d: str, most: int = 20_000) -> DataFrame:
     docs = corpus(spark, d)
-    vocab = stored(C.vocabulary(C.token_counts(docs), 5, 2000), "vocab")[0]
+    vocab = stored(C.vocabulary(C.token_counts(docs), 5, most), "vocab")[0]
     pairs = stored(C.in_vocabulary(C.cooccurrence(docs), vocab), "pairs")[0]
     return C.positive_pmi(pairs)
 
 
 @register("pmi", f"{PMI} SELECT i, j, round(pmi, 6) AS pmi FROM pm WHERE pmi > 0")
 def pmi(spark: SparkSession, d: str) -> DataFrame:
+    return pmi_rows(spark, d, 2000).select("i", "j", r6("pmi"))
+
+
+@register("pmi_all", f"{PMI_ALL} SELECT i, j, round(pmi, 6) AS pmi FROM pm WHERE pmi > 0")
+def pmi_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of the whole vocabulary; pmi has 2,000 words of it, as its SQL."""
     return pmi_rows(spark, d).select("i", "j", r6("pmi"))
 
 
 @register("topk_pmi", f"{PMI} SELECT i, round(sum(pmi), 4) AS total, count(*) AS n FROM (SELECT i, pmi FROM pm WHERE pmi > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY pmi DESC, j) <= 20) GROUP BY i")
 def topk_pmi(spark: SparkSession, d: str) -> DataFrame:
+    top = C.top_neighbours(pmi_rows(spark, d, 2000), 20)
+    return top.groupBy("i").agg(F.round(F.sum("pmi"), 4).alias("total"), F.count("*").alias("n"))
+
+
+@register("topk_pmi_all", f"{PMI_ALL} SELECT i, round(sum(pmi), 4) AS total, count(*) AS n FROM (SELECT i, pmi FROM pm WHERE pmi > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY pmi DESC, j) <= 20) GROUP BY i")
+def topk_pmi_all(spark: SparkSession, d: str) -> DataFrame:
     top = C.top_neighbours(pmi_rows(spark, d), 20)
     return top.groupBy("i").agg(F.round(F.sum("pmi"), 4).alias("total"), F.count("*").alias("n"))
 

@@ -29,3 +29,8 @@ def test_product_norm_of_all_vectors(spark):
 
 def test_rotation_has_all_coordinates(spark):
     assert {i for _, i, _ in both(spark, "hadamard_rotate_all")} == set(range(64))
+
+
+def test_pmi_of_the_whole_vocabulary(spark):
+    for name in ("pmi_all", "topk_pmi_all"):
+        assert {r[0] for r in both(spark, name)} - set(range(2000))
