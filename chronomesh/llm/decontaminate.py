@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import row_key, stored, table
 from .words import batched, mix, shingles
 
 WORDS, THRESHOLD, HASHES = 5, 0.8, 24
@@ -52,7 +52,10 @@ def spelled(raw: bytes, start, stop, first: int, n: int) -> str:
 
 
 def item_rows(items: DataFrame) -> DataFrame:
-    """Per item its minima (kind >= 0, value) and its distinct shingles (kind -1, value, shingle); n is their number."""
+    """Per item its minima (kind >= 0, value) and its distinct shingles (kind -1, value, shingle); n is their number.
+
+    An item of fewer than WORDS words is one row of kind -2, its words, and n is how many.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
@@ -64,6 +67,9 @@ def item_rows(items: DataFrame) -> DataFrame:
                     n = len(distinct)
                     if not n:
                         continue
+                    if size < WORDS:
+                        out.append((ids[k], -2, int(own[0].astype(np.int64)), spelled(raw, start, stop, a, size), size))
+                        continue
                     out += [
                         (ids[k], -1, int(v.astype(np.int64)), spelled(raw, start, stop, a + int(f), size), n)
                         for v, f in zip(distinct, first, strict=True)
@@ -84,8 +90,11 @@ def rows_of(out: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def document_rows(docs: DataFrame, classes: list[int], filter_bytes: bytes) -> DataFrame:
-    """Minima of windows and, of documents with any, shingles, as far as the items' bit map lets them through."""
+def document_rows(docs: DataFrame, classes: list[int], short: list[int], filter_bytes: bytes) -> DataFrame:
+    """Minima of windows and, of documents with any, shingles, as far as the items' bit map lets them through.
+
+    Of each number of words in ``short``, all runs that it lets through are rows of kind -2.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = np.unpackbits(np.frombuffer(filter_bytes, np.uint8)).astype(bool)
         for batch in batches:
@@ -104,6 +113,14 @@ def document_rows(docs: DataFrame, classes: list[int], filter_bytes: bytes) -> D
                     a = int(cuts[k])
                     own = np.append(own, shingles(value[a : a + sizes[k]], int(sizes[k])))
                     pick, owner, length = np.append(pick, a), np.append(owner, k), np.append(length, sizes[k])
+                for size in short:
+                    runs = shingles(value, size)
+                    met: set[tuple[int, int]] = set()
+                    for k in np.flatnonzero(passes[slot(-2, runs)]):
+                        t = int(np.searchsorted(cuts, k, "right")) - 1
+                        if k + size <= cuts[t + 1] and (t, int(runs[k])) not in met:
+                            met.add((t, int(runs[k])))
+                            out.append((ids[at + t], -2, int(runs[k].astype(np.int64)), spelled(raw, start, stop, int(k), size), size))
                 hit: set[int] = set()
                 for kind, low, text in window_minima(own, owner, classes):
                     good = passes[slot(kind, low)]
@@ -129,7 +146,7 @@ def document_rows(docs: DataFrame, classes: list[int], filter_bytes: bytes) -> D
 
 def window_minima(own: np.ndarray, owner: np.ndarray, classes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(kind, minimum of each window, its text) for each class and hash; ``owner`` is ascending but for a tail of short texts."""
-    if not len(own):
+    if not len(own) or not classes:
         return
     new = np.flatnonzero(np.diff(owner, prepend=-1))
     count = np.diff(np.append(new, len(own)))
@@ -158,18 +175,22 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Items and documents without a word match nothing; null texts are empty.  Items
     with a null or repeated item_id are taken as one item a set of rows; rows that repeat a
-    doc_id are judged together.  Extra columns are not read.
+    doc_id are judged together, and rows without one each by itself.  An item of fewer than WORDS words is
+    one shingle of its own length.  Extra columns are not read.
     """
     spark = docs.sparkSession
     own, _ = stored(item_rows(items), "items")
     kinds = [r.kind for r in own.select("kind").distinct().collect()]  # HASHES a size class
     classes = sorted({k // HASHES for k in kinds if k >= 0})
-    if not classes:
+    short = [r.n for r in own.where("kind = -2").select("n").distinct().collect()] if -2 in kinds else []
+    if not kinds:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint, containment double")
+    nameless = docs.where("doc_id is null").select(row_key().alias("doc_id")).distinct()
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), row_key()).alias("doc_id"), "text")
     bit_map = np.zeros(1 << FILTER_BITS, bool)
     for batch in own.select("kind", "value").mapInArrow(_slots, "slot bigint").distinct().toArrow().to_batches():
         bit_map[batch.column(0).to_numpy()] = True
-    rows, _ = stored(document_rows(docs, classes, np.packbits(bit_map).tobytes()), "overlap")
+    rows, _ = stored(document_rows(docs, classes, short, np.packbits(bit_map).tobytes()), "overlap")
     sets = own.where("kind = -1").groupBy("id").agg(F.countDistinct("shingle").alias("n_item"))
     pairs = (
         rows.where("kind >= 0").select(F.col("id").alias("doc_id"), "kind", "value").distinct()
@@ -181,11 +202,21 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         .join(own.where("kind = -1").select(F.col("id").alias("item_id"), "shingle").distinct(), "shingle")
         .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     )
-    return (
-        shared.join(pairs, ["doc_id", "item_id"], "left_semi").join(sets.withColumnRenamed("id", "item_id"), "item_id")
-        .withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= THRESHOLD)
-        .select("doc_id", "item_id", "n_shared", "n_item", "containment")
+    same = lambda x, y, names: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in names]
+    found = (
+        shared.alias("s").join(pairs.alias("p"), same("s", "p", ["doc_id", "item_id"]), "left_semi").alias("s")
+        .join(sets.withColumnRenamed("id", "item_id").alias("i"), same("s", "i", ["item_id"])).select("s.*", "i.n_item")
     )
+    if short:
+        whole = (
+            rows.where("kind = -2").select(F.col("id").alias("doc_id"), "shingle").distinct()
+            .join(own.where("kind = -2").select(F.col("id").alias("item_id"), "shingle").distinct(), "shingle")
+            .select("doc_id", "item_id").distinct()
+        )
+        found = found.union(whole.select("doc_id", "item_id", F.lit(1).cast("long"), F.lit(1).cast("long")))
+    found = found.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= THRESHOLD)
+    found = found.join(nameless.withColumn("none", F.lit(True)), "doc_id", "left")
+    return found.select(F.when(F.col("none").isNull(), F.col("doc_id")).alias("doc_id"), "item_id", "n_shared", "n_item", "containment")
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +227,10 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that contain no item; columns as they are."""
-    found, _ = stored(find_items(docs, items).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that contain no item, each row judged by itself; columns as they are."""
+    found = find_items(docs.select(row_key().alias("doc_id"), "text"), items)
+    found, _ = stored(found.select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
+    return docs.withColumn("_row", row_key()).join(found, "_row", "left_anti").select(docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, scratch, stored, table
+from .common import file_system, row_key, scratch, stored, table
 
 ORDER = 4  # longest context, bytes
 SAMPLE = 400  # training documents a language at most, the first by hash of their id
@@ -253,15 +253,16 @@ def trained(docs: DataFrame) -> str:
 def keep_known(docs: DataFrame) -> DataFrame:
     """Documents in one of the languages, columns as they are: a letter, and MAX_BITS a byte or fewer.
 
-    Predictions are joined by doc_id; of rows that repeat one, all stay if any is accepted.  If no
-    document tells a language, none can be judged and all stay.
+    Each row is judged by itself, whatever its doc_id.  If no document tells a language, none can be judged and
+    all stay.
     """
     uri = trained(docs)
     if not Model.load(uri).langs:
         return docs
-    found = predict(docs, uri).where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= MAX_BITS))
-    kept, _ = stored(found.select("doc_id").distinct(), "known")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    found = predict(docs.select(row_key().alias("doc_id"), "text"), uri)
+    found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= MAX_BITS))
+    kept, _ = stored(found.select(F.col("doc_id").alias("_row")).distinct(), "known")
+    return docs.withColumn("_row", row_key()).join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

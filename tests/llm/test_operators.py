@@ -197,6 +197,19 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontaminate.find_items(docs, table.where("false")).count() == 0
 
 
+def test_null_keys_and_short_items(spark):
+    leak = prose(31, 30)
+    rows = [(None, prose(32, 50) + " " + leak), (None, prose(33, 50)), (1, prose(34, 20) + " qx zw " + prose(35, 20)), (2, prose(36, 40)), (3, "qx zw")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, leak), (7, "qx zw"), (8, "zw qx")], "item_id bigint, text string")
+    got = decontaminate.find_items(df, items).collect()
+    assert sorted(map(str, [(r.doc_id, r.item_id) for r in got])) == ["(1, 7)", "(3, 7)", "(None, None)"]
+    assert {r.text for r in decontaminate.drop_contaminated(df, items).collect()} == {rows[1][1], rows[3][1]}
+    taught = [(k, prose(k, 30), "aa") for k in range(60)] + [(None, prose(99, 30), None), (None, "12 34 !", None)]
+    kept = language.keep_known(spark.createDataFrame(taught, "doc_id bigint, text string, lang string")).collect()
+    assert [r.text for r in kept if r.doc_id is None] == [prose(99, 30)]
+
+
 def test_word_hashes():
     raw = "the fox, the é1 fox".encode()
     value, start, stop = hashed_words(raw)
