@@ -144,6 +144,18 @@ def dense_attention(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query", F.posexplode("out").alias("dim", "value")).select("query", "dim", r6("value"))
 
 
+@register("dense_attention_all", """WITH q AS (SELECT vec_id AS query, embedding FROM embeddings WHERE vec_id % 20 = 0),
+ s AS (SELECT query, e.vec_id AS token, list_sum(list_transform(range(1, 65), lambda k: CAST(q.embedding[k] AS DOUBLE) * CAST(e.embedding[k] AS DOUBLE))) * 2.0 AS s, e.embedding AS v FROM q CROSS JOIN embeddings e),
+ x AS (SELECT query, exp(s - max(s) OVER (PARTITION BY query)) AS w, v FROM s)
+ SELECT query, CAST(d AS INTEGER) AS dim, round(sum(w * CAST(v[d + 1] AS DOUBLE)) / sum(w), 6) AS value FROM x, range(0, 64) t(d) GROUP BY ALL""")
+def dense_attention_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of whole value vectors; dense_attention has three of their dimensions, as its SQL."""
+    own = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    ask = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
+    out = K.attention(ask, own.select(F.col("vec_id").alias("token"), F.col("v").alias("key"), F.col("v").alias("value")), 2.0)
+    return out.select("query", F.posexplode("out").alias("dim", "value")).select("query", "dim", r6("value"))
+
+
 def reach_sql(ctx: str, start: str) -> str:
     return f"""{GRAPH}, {ctx}, r AS (SELECT id AS node FROM n WHERE id = {start} UNION SELECT g.dst FROM r JOIN g ON g.src = r.node)"""
 
@@ -465,7 +477,7 @@ def senses(spark: SparkSession, d: str) -> DataFrame:
 @register("walker_paths")
 def walker_paths(spark: SparkSession, d: str) -> DataFrame:
     g = embedding_graph(spark, d)
-    return Wk.walk(g, Wk.episode_starts(g, 5), 4, Wk.WalkerConfig(cell=0.1)).select("walker", "node", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"), r6("score"))
+    return Wk.walk(g, Wk.episode_starts(g, 20), 30, Wk.WalkerConfig(cell=0.1)).select("walker", "node", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"), r6("score"))
 
 
 WALK = f"""{GRAPH}, od AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS ord, count(*) OVER (PARTITION BY src) AS degree, w FROM edges),
@@ -483,6 +495,13 @@ def random_walk(spark: SparkSession, d: str) -> DataFrame:
     return walks(spark, d)[1]
 
 
+@register("random_walk_all", f"{WALK.replace('wk.step < 10', 'wk.step < 30')} SELECT walker, step, node FROM wk")
+def random_walk_all(spark: SparkSession, d: str) -> DataFrame:
+    """20 episodes of 30 steps; random_walk has 10 steps, as its SQL."""
+    g = embedding_graph(spark, d)
+    return Wk.random_walk(g, Wk.episode_starts(g, 20), 30)
+
+
 @register("path_edge_weight", f"{WALK}, pe AS (SELECT walker, lag(node) OVER (PARTITION BY walker ORDER BY step) AS src, node AS dst FROM wk) SELECT walker, round(coalesce(avg(w), 0), 6) AS mean_weight FROM pe LEFT JOIN od ON od.src = pe.src AND od.dst = pe.dst GROUP BY walker")
 def path_edge_weight(spark: SparkSession, d: str) -> DataFrame:
     g, paths = walks(spark, d)
