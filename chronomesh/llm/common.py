@@ -126,48 +126,55 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return label
 
 
-STARS = 2  # rounds of comparison with one member of a bucket before all pairs between components
+BLOCK = 2048  # members of a bucket that one group of a join compares others with
 
 
-def hubs(members: DataFrame) -> DataFrame:
-    """(key, hub) of members (key, id, n, part): the most frequent, of equals the one with the smallest id."""
-    order = F.struct("n", F.bitwise_not("id").alias("less"))
-    return members.groupBy("key").agg(F.max_by(F.struct("id", "part"), order).alias("hub"))
+def linked(
+    members: DataFrame, marks: DataFrame, near: Callable[[str, str], Column],
+    texts: Callable[[DataFrame], DataFrame], similar: Callable[[DataFrame, DataFrame], DataFrame],
+) -> DataFrame:
+    """(node, component) of the members (id, bucket) that are alike and share a bucket.
 
-
-def linked(members: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the components that ``similar`` links between members (key, id, n) of a bucket.
-
-    ``similar`` stores those of its pairs (a, b) that are alike.  A bucket is first compared with its most frequent
-    member alone; only what that leaves in different components is compared further.  A turn's hubs are
-    stored, so that the member left out as having met its bucket is the one that met it.
+    ``similar`` stores those of its pairs (a, b) of ``texts`` that are alike; only pairs that are ``near`` by their
+    ``marks`` (id, ...) get there.  A bucket's members are first compared with one of them, its hub, which any
+    order of numbers picks: another one a bucket, though buckets be alike.  What that leaves in different
+    components is compared again: the members outside one component of the bucket with all others, in blocks.
+    So a bucket costs in proportion to its members when they are variants of one, and no link is lost:
+    pairs left out are already connected.
     """
     spark = members.sparkSession
-    edges, label = None, None
-    for turn in range(STARS + 1):
-        if turn:
-            named = members.join(label.withColumnRenamed("node", "id"), "id", "left").select(
-                "key", "id", "n", F.coalesce("component", "id").alias("part")
-            )
-            open_keys = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-            members, _ = stored(
-                named.join(open_keys.where("low < high").select("key"), "key", "left_semi"), "open"
-            )
-        else:
-            members = members.withColumn("part", F.col("id"))
-        if members.isEmpty():
-            break
-        if turn < STARS:
-            hub, _ = stored(hubs(members), "hubs")
-            pairs = members.join(hub, "key").where("part <> hub.part").select("id", F.col("hub.id").alias("other"))
-            # the hub has met all its bucket
-            rest = members.join(hub.select("key", F.col("hub.id").alias("id")), ["key", "id"], "left_anti")
-        else:
-            other = members.select("key", F.col("id").alias("other"), F.col("part").alias("part_o"))
-            pairs, rest = members.join(other, "key").where("part < part_o").select("id", "other"), None
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        found = similar(pairs)
-        edges = found if edges is None else edges.union(found)
-        label = components(edges)
-        members = rest.select("key", "id", "n") if rest is not None else members
-    return spark.createDataFrame([], "node bigint, component bigint") if label is None else label
+    place = F.col("id").bitwiseXOR(F.col("bucket"))
+    hubs = (
+        members.groupBy("bucket").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high")
+        .select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("hub"))
+    )
+    met, met_path = stored(members.join(hubs.hint("shuffle_hash"), "bucket").where("id <> hub"), "met")
+    if met.isEmpty():
+        drop_path(spark, met_path)
+        return spark.createDataFrame([], "node bigint, component bigint")
+    known = texts(met.select("id").union(met.select(F.col("hub").alias("id"))).distinct())
+
+    def marked(pairs: DataFrame) -> DataFrame:
+        for c in ("a", "b"):
+            pairs = pairs.join(marks.select(F.col("id").alias(c), F.struct(*marks.columns).alias("of_" + c)), c)
+        return pairs.where(near("of_a", "of_b")).select("a", "b")
+
+    pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    links = similar(marked(pairs), known)
+    label = components(links)
+    named = met.join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
+    many = (
+        named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", place).alias("main"), F.count("*").alias("n"))
+        .where("low < high").select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    )
+    rest = named.join(many, "bucket").join(marks.select("id", F.struct(*marks.columns).alias("of")), "id")
+    rest, rest_path = stored(rest, "rest")
+    one = rest.where("part <> main").select("bucket", F.col("id").alias("a"), F.col("part").alias("part_a"), F.col("of").alias("of_a"),
+                                            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    other = rest.select("bucket", F.col("id").alias("b"), F.col("part").alias("part_b"), F.col("of").alias("of_b"),
+                        (F.col("part") == F.col("main")).alias("inside"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    pairs = one.join(other, ["bucket", "block"]).where((F.col("part_a") != F.col("part_b")) & (F.col("inside") | (F.col("a") < F.col("b"))) & near("of_a", "of_b"))
+    more = similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known)
+    for path in (met_path, rest_path):
+        drop_path(spark, path)
+    return label if more.isEmpty() else components(links.union(more))

@@ -11,15 +11,18 @@ fingerprints are joined with the tests as join conditions.  The fingerprints of
 go an exact other way: any two at distance 2 or less share a point at distance 1
 or less of both, and no point has more than 65 such fingerprints.
 
-That is op1.  The pipeline's stage asks for a likeness of ``LIKENESS`` of five-word shingles, which
-64 bits can't tell: such pairs differ in ten bits and more.  It finds candidates by
-MinHash bands and decides by the exact Jaccard likeness of the shingle sets.
+That is op1.  The pipeline's stage asks for a likeness of ``LIKENESS`` of five-word shingles.  Such pairs differ
+in ten bits of 64 and up to ``RADIUS``, where no run of segments is rare enough to look candidates up by.
+So candidates come from MinHash bands there; the chain test and the Hamming test prune them, and the
+exact Jaccard likeness of the shingle sets decides.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
 BUCKET = 64
 WORDS, LIKENESS = 5, 0.8  # of the stage
 BANDS, ROWS = 20, 4  # a pair of likeness 0.8 is missed in all bands 3 times in 100,000
+RADIUS = 24  # bits: 9.7 on average at LIKENESS, with a deviation of 2.9; one such pair in a million differs in more
+EIGHTHS = tuple((8 * k, 8) for k in range(8))
 PIECE = 4 << 20
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -106,12 +111,18 @@ def ring_keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def chained(x: Column) -> Column:
-    """Whether the differing bits ``x`` have a segment whose chain stays within its budgets."""
-    d = [F.bit_count(bits(x, first, size)) for first, size in SEGMENTS]
-    return (
-        ((d[0] == 0) & (d[1] <= 1)) | ((d[1] == 0) & (d[2] <= 1)) | ((d[2] == 0) & (d[0] <= 1))
-    ) & (d[0] + d[1] + d[2] <= 2)
+def chained(x: Column, segments: tuple = SEGMENTS, most: int = 2) -> Column:
+    """Whether the differing bits ``x`` are ``most`` at the most and have a segment whose chain stays within its budgets.
+
+    From that segment on, around the ring, the first l segments hold at most l of len(segments) parts of ``most``.
+    """
+    m = len(segments)
+    d = [F.bit_count(bits(x, first, size)) for first, size in segments]
+    found = F.lit(False)
+    for i in range(m):
+        chain = reduce(and_, [sum(d[(i + k) % m] for k in range(n)) <= n * most // m for n in range(1, m)])
+        found = found | chain
+    return (F.bit_count(x) <= most) & found
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -122,7 +133,7 @@ def links(fps: DataFrame) -> DataFrame:
     x = F.col("a").bitwiseXOR(F.col("b"))
     cold = (
         few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key")
-        .where((F.col("a") < F.col("b")) & chained(x) & (F.bit_count(x) <= 2)).select("a", "b")
+        .where((F.col("a") < F.col("b")) & chained(x)).select("a", "b")
     )
     many = keys.join(size.where(F.col("n") > BUCKET).select("key"), "key", "left_semi").select("fp").distinct()
     point = F.explode(F.array_append(F.transform(
@@ -182,28 +193,37 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def set_fingerprint(own: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingles, as a signed integer."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(own), 1 << 15):
+        ones += np.unpackbits(own[k : k + (1 << 15)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big", signed=True)
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, id, bands) of every document: id stands for its set of shingles."""
+    """(row, doc_id, id, fp, bands) of every document: id stands for its set of shingles, fp is the set's SimHash."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            ids, bands = [], []
+            ids, prints, bands = [], [], []
             for t in batch.column(2):
                 own = word_shingles(t.as_py())
+                prints.append(set_fingerprint(own))
                 ids.append(int.from_bytes(xxhash.xxh64_digest(own.tobytes(), SEED), "big", signed=True))
                 bands.append(band_keys(own) if len(own) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                ["row", "doc_id", "id", "bands"],
+                [batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (ids, prints)), pa.array(bands, pa.list_(pa.int64()))],
+                ["row", "doc_id", "id", "fp", "bands"],
             )
 
     own = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(work, "row bigint, doc_id bigint, id bigint, bands array<bigint>")
+    return own.mapInArrow(work, "row bigint, doc_id bigint, id bigint, fp bigint, bands array<bigint>")
 
 
 def similar_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``texts`` (at, text) whose shingle sets have a Jaccard likeness of LIKENESS or more, stored."""
+    """The pairs (a, b) of ``texts`` (id, text) whose shingle sets have a Jaccard likeness of LIKENESS or more, stored."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets: dict[int, np.ndarray] = {}
@@ -224,8 +244,8 @@ def similar_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     both = (
-        pairs.join(texts.select(F.col("at").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("at").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     )
     return stored(both.mapInArrow(work, "a bigint, b bigint"), "similar")[0]
 
@@ -237,16 +257,24 @@ def keep_first(docs: DataFrame) -> DataFrame:
     such links reach.  Texts without a word are one group.  Null doc_ids come after all others; rows that
     repeat a doc_id are judged one by one, and rows alike in doc_id and text are copies.
     """
-    own, _ = stored(shingle_sets(docs), "sets")
+    own, own_path = stored(shingle_sets(docs), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    one, _ = stored(own.groupBy("id").agg(first, F.count("*").alias("n"), F.any_value("bands").alias("bands")), "distinct")
-    keys = one.select(F.explode("bands").alias("key"), "id", "n")
-    many = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    members, _ = stored(keys.join(many, "key", "left_semi"), "members")
-    wanted = one.join(members.select("id").distinct(), "id", "left_semi").select(F.col("first.row").alias("row"), F.col("id").alias("at"))
-    texts = docs.select(row_key().alias("row"), F.col("text").cast("string").alias("text")).join(wanted, "row")
-    texts, _ = stored(texts.groupBy("at").agg(F.any_value("text").alias("text")), "texts")
-    label = linked(members, lambda pairs: similar_texts(pairs, texts))
+    one = own.groupBy("id").agg(first, F.any_value("bands").alias("bands"), F.any_value("fp").alias("fp"))
+    one, one_path = stored(one, "distinct")
+    paths = [own_path, one_path]
+
+    def texts(candidates: DataFrame) -> DataFrame:
+        wanted = one.join(candidates, "id", "left_semi").select(F.col("first.row").alias("row"), "id")
+        found = docs.select(row_key().alias("row"), F.col("text").cast("string").alias("text")).join(wanted, "row")
+        found, path = stored(found.groupBy("id").agg(F.any_value("text").alias("text")), "texts")
+        paths.append(path)
+        return found
+
+    def near(a: str, b: str) -> Column:
+        return chained(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp")), EIGHTHS, RADIUS)
+
+    members = one.select("id", F.explode("bands").alias("bucket"))
+    label = linked(members, one.select("id", "fp"), near, texts, similar_texts)
     named = one.join(label.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
     names = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
     names, _ = stored(names, "kept")

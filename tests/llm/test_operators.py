@@ -64,25 +64,30 @@ def test_components(spark):
     assert got == {k: want[k] for k in {x for p in pairs if p[0] != p[1] for x in p}}
 
 
-def test_hub_is_one_line_in_both_jobs(spark):
-    # each plan of members sees its rows in another order, as after a lost executor
-    met = set()
+@pytest.mark.parametrize("block", [2048, 3])
+def test_linked_loses_no_link(spark, monkeypatch, block):
+    # members in another order at each reading, as after a lost executor
+    monkeypatch.setattr(common, "BLOCK", block)
+    rng = random.Random(5)
+    buckets = [rng.sample(range(300), rng.choice([1, 2, 3, 8, 30])) for _ in range(60)]
+    links = {tuple(sorted(rng.sample(x, 2))) for x in buckets if len(x) > 1 for _ in range(len(x) // 2)}
 
     def shuffled(batches):
-        rng = random.SystemRandom()
+        order = random.SystemRandom()
         for batch in batches:
-            yield batch.take(rng.sample(range(len(batch)), len(batch)))
-
-    def similar(pairs):
-        got = {tuple(r) for r in pairs.collect()}
-        met.update(got)
-        return spark.createDataFrame(sorted(got & links), "a bigint, b bigint")
-
-    rows = [(key, 3 * key + k, 1) for key in range(40) for k in range(3)]
-    links = {(3 * key + 1, 3 * key + 2) for key in range(40)}
-    members = spark.createDataFrame(rows, "key bigint, id bigint, n bigint").repartition(1).mapInArrow(shuffled, "key bigint, id bigint, n bigint")
-    label = {r.node: r.component for r in common.linked(members, similar).collect()}
-    assert links <= met and label == {x: a for a, b in links for x in (a, b)}
+            yield batch.take(order.sample(range(len(batch)), len(batch)))
+
+    def similar(pairs, texts):
+        return spark.createDataFrame(sorted({tuple(r) for r in pairs.collect()} & links), "a bigint, b bigint")
+
+    schema = "id bigint, bucket bigint"
+    members = spark.createDataFrame([(x, 10**15 * k) for k, ids in enumerate(buckets) for x in ids], schema).repartition(1).mapInArrow(shuffled, schema)
+    marks = spark.createDataFrame([(x, x % 2) for x in range(300)], "id bigint, odd int")
+    never = {p for p in links if p[0] % 2 and p[1] % 2}
+    for near, want in ((lambda a, b: F.lit(True), links), (lambda a, b: (F.col(f"{a}.odd") == 0) | (F.col(f"{b}.odd") == 0), links - never)):
+        root = union_find(300, want)
+        label = {r.node: r.component for r in common.linked(members, marks, near, lambda ids: ids, similar).collect()}
+        assert label == {x: root[x] for p in want for x in p}
 
 
 @pytest.mark.parametrize("bucket", [64, 1])
