@@ -19,19 +19,33 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` has not."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+_LOCAL: dict[str, str] = {}  # a temporary folder for each application on a local master
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the store that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it.  Where it is unset, a local master gets a
-    temporary folder, and a cluster the warehouse, which is shared as well.
+    ``spark.checkpoint.dir`` names it.  Where it is unset, a local master gets a temporary folder, and a cluster
+    the warehouse if that is no folder of each machine's own; else there is no shared store, and this raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.startswith("local"):
-            base = "file://" + tempfile.mkdtemp(prefix="chronomesh-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir")
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="chronomesh-")
+        base = _LOCAL[app]
+    elif not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith(("file:", "/")):
+            raise RuntimeError("spark.checkpoint.dir is unset: there is no folder that driver and executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -76,7 +90,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     ``edges`` joins two long columns; nodes without an edge are not returned.
     Each round draws a new random order, points every node at the first of its
-    neighbours and itself, and contracts the edges to the nodes pointed at.  Those
+    neighbours and itself, then at what that one points at, and contracts the edges to the nodes pointed at.  Those
     are an expected three quarters of the nodes at most, whatever the graph, so
     rounds grow with the logarithm of the largest component.  Every round is an
     aggregate with map-side combine and equi-joins whose one side has a row a
@@ -97,7 +111,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .groupBy("node").agg(F.min_by("to", order("to")).alias("to"))
             .select("node", F.when(order("to") < order("node"), F.col("to")).otherwise(F.col("node")).alias("to"))
         )
-        up, path = stored(up, "up")
+        over = up.select(F.col("node").alias("to"), F.col("to").alias("over"))
+        up, path = stored(up.join(over, "to").select("node", F.col("over").alias("to")), "up")
         paths.append(path)
         levels.append(up)
         ends = live
@@ -126,55 +141,58 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return label
 
 
-BLOCK = 2048  # members of a bucket that one group of a join compares others with
+FEW = 8  # members of a bucket that are all compared with one another
 
 
 def linked(
-    members: DataFrame, marks: DataFrame, near: Callable[[str, str], Column],
-    texts: Callable[[DataFrame], DataFrame], similar: Callable[[DataFrame, DataFrame], DataFrame],
+    items: DataFrame, near: Callable[[str, str], Column], texts: Callable[[DataFrame], DataFrame], similar: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> DataFrame:
-    """(node, component) of the members (id, bucket) that are alike and share a bucket.
-
-    ``similar`` stores those of its pairs (a, b) of ``texts`` that are alike; only pairs that are ``near`` by their
-    ``marks`` (id, ...) get there.  A bucket's members are first compared with one of them, its hub, which any
-    order of numbers picks: another one a bucket, though buckets be alike.  What that leaves in different
-    components is compared again: the members outside one component of the bucket with all others, in blocks.
-    So a bucket costs in proportion to its members when they are variants of one, and no link is lost:
-    pairs left out are already connected.
+    """(node, component) of the items (id, keys, ...) that are alike and share a key.
+
+    ``similar`` stores those of its pairs (a, b) of ``texts`` that are alike; only pairs that are ``near`` by the
+    items' other columns get there.  A bucket's members are first compared with the one of the largest id alone, its
+    hub.  Where that leaves members in different components, a bucket of FEW compares them all, and a larger one compares
+    them with two hubs more: the next by id, and one that its key picks.  So pairs are fewer than FEW
+    a row of (id, key), however large a bucket is.  Links inside a large bucket that none of its three hubs is part of
+    or connects can be lost in it; alike items share other buckets as well, with other hubs.
     """
-    spark = members.sparkSession
-    place = F.col("id").bitwiseXOR(F.col("bucket"))
-    hubs = (
-        members.groupBy("bucket").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high")
-        .select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("hub"))
-    )
-    met, met_path = stored(members.join(hubs.hint("shuffle_hash"), "bucket").where("id <> hub"), "met")
+    spark = items.sparkSession
+    paths = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, path = stored(df, name)
+        paths.append(path)
+        return df
+
+    members = items.select("id", F.explode("keys").alias("bucket"))
+    hubs = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("hub")).where("low < hub").select("bucket", "hub")
+    met = kept(members.join(hubs.hint("shuffle_hash"), "bucket").where("id <> hub"), "met")
     if met.isEmpty():
-        drop_path(spark, met_path)
+        drop_path(spark, paths[0])
         return spark.createDataFrame([], "node bigint, component bigint")
     known = texts(met.select("id").union(met.select(F.col("hub").alias("id"))).distinct())
+    marks = items.drop("keys")
 
-    def marked(pairs: DataFrame) -> DataFrame:
+    def tested(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for c in ("a", "b"):
             pairs = pairs.join(marks.select(F.col("id").alias(c), F.struct(*marks.columns).alias("of_" + c)), c)
-        return pairs.where(near("of_a", "of_b")).select("a", "b")
+        return similar(pairs.where(near("of_a", "of_b")).select("a", "b"), known)
 
-    pairs = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    links = similar(marked(pairs), known)
+    links = tested(met.select(F.col("id").alias("a"), F.col("hub").alias("b")))
     label = components(links)
     named = met.join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-    many = (
-        named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", place).alias("main"), F.count("*").alias("n"))
-        .where("low < high").select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    rest = named.join(many, "bucket").join(marks.select("id", F.struct(*marks.columns).alias("of")), "id")
-    rest, rest_path = stored(rest, "rest")
-    one = rest.where("part <> main").select("bucket", F.col("id").alias("a"), F.col("part").alias("part_a"), F.col("of").alias("of_a"),
-                                            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    other = rest.select("bucket", F.col("id").alias("b"), F.col("part").alias("part_b"), F.col("of").alias("of_b"),
-                        (F.col("part") == F.col("main")).alias("inside"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    pairs = one.join(other, ["bucket", "block"]).where((F.col("part_a") != F.col("part_b")) & (F.col("inside") | (F.col("a") < F.col("b"))) & near("of_a", "of_b"))
-    more = similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known)
-    for path in (met_path, rest_path):
+    size = named.groupBy("bucket").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"),
+        F.max("id").alias("next"), F.max(F.col("id").bitwiseXOR(F.col("bucket"))).alias("drawn"),
+    ).where("low < high").select("bucket", "n", "next", F.col("drawn").bitwiseXOR(F.col("bucket")).alias("drawn"))
+    mixed = kept(named.join(size, "bucket"), "mixed")
+    few = mixed.where(F.col("n") <= FEW).select("bucket", "id", "part")
+    other = few.select("bucket", F.col("id").alias("b"), F.col("part").alias("part_b"))
+    pairs = few.join(other, "bucket").where("part < part_b").select(F.col("id").alias("a"), "b")
+    many = mixed.where(F.col("n") > FEW).select(F.col("id").alias("a"), F.explode(F.array("next", "drawn")).alias("b"))
+    pairs = pairs.union(many.where("a <> b"))
+    more = tested(pairs)
+    for path in paths:
         drop_path(spark, path)
     return label if more.isEmpty() else components(links.union(more))

@@ -5,12 +5,13 @@ each class in use a document is seen as windows of three blocks of 2**c
 shingles, one window a block: an item of the class that lies in the document lies in one window, whose size
 is at most three times its own.  So containment of 0.8 is a Jaccard likeness of
 a quarter at least, and one of ``HASHES`` minima agrees but once in a thousand times; at
-full containment, once in ten thousand.  Candidates are then verified by exact
+full containment, once in ten thousand.  Candidate pairs, and no others, are then verified by exact
 containment of the item's shingles, as text, in the whole document.
 
-Documents send on only minima that a fixed-size bit map of the items' minima lets
+Documents send on only minima that a bit map of the items' minima lets
 through, and shingles that one of the items' shingles lets through, so
-what is shuffled follows the overlap and not the corpus.
+what is shuffled follows the overlap and not the corpus.  The map has sixteen bits or more for each
+value of the items, up to MOST_BITS; beyond that it lets more rows through, and nothing is decided by it.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, stored, table
+from .common import fresh, row_key, stored, table
 from .words import batched, mix, shingles
 
 WORDS, THRESHOLD, HASHES = 5, 0.8, 24
-FILTER_BITS = 21
+LEAST_BITS, MOST_BITS = 16, 27  # log2 of the size of the bit map
 _ODD = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 _XOR = mix(np.arange(101, HASHES + 101, dtype=np.uint64))
 _ROW = "id bigint, kind int, value bigint, shingle string, n bigint"
@@ -36,9 +37,9 @@ def size_class(n: int) -> int:
     return max(n, 1).bit_length() - 1
 
 
-def slot(kind: int, value: np.ndarray) -> np.ndarray:
-    """Position in the bit map of a value of this kind; kind -1 is a shingle, else class * HASHES + hash."""
-    return (mix(value ^ np.uint64((kind + 2) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def slot(kind: int, value: np.ndarray, bits: int) -> np.ndarray:
+    """Position in a map of 2**bits of a value of this kind; kind -1 is a shingle, else class * HASHES + hash."""
+    return (mix(value ^ np.uint64((kind + 2) * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def text_shingles(raw: bytes, value, start, stop, a: int, b: int) -> tuple[np.ndarray, int]:
@@ -59,7 +60,7 @@ def item_rows(items: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
-            for at, to, raw, value, start, stop, cuts in batched(batch.column(1).to_pylist()):
+            for at, to, raw, value, start, stop, cuts, _ in batched(batch.column(1).to_pylist()):
                 for k in range(at, to):
                     a, b = int(cuts[k - at]), int(cuts[k - at + 1])
                     own, size = text_shingles(raw, value, start, stop, a, b)
@@ -97,9 +98,10 @@ def document_rows(docs: DataFrame, classes: list[int], short: list[int], filter_
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = np.unpackbits(np.frombuffer(filter_bytes, np.uint8)).astype(bool)
+        bits = len(passes).bit_length() - 1
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at, to, raw, value, start, stop, cuts in batched(batch.column(1).to_pylist()):
+            for at, to, raw, value, start, stop, cuts, _ in batched(batch.column(1).to_pylist()):
                 out: list[tuple] = []
                 sizes = np.diff(cuts)
                 # shingles of all texts in one array; those over the edge of a text are left out
@@ -116,14 +118,14 @@ def document_rows(docs: DataFrame, classes: list[int], short: list[int], filter_
                 for size in short:
                     runs = shingles(value, size)
                     met: set[tuple[int, int]] = set()
-                    for k in np.flatnonzero(passes[slot(-2, runs)]):
+                    for k in np.flatnonzero(passes[slot(-2, runs, bits)]):
                         t = int(np.searchsorted(cuts, k, "right")) - 1
                         if k + size <= cuts[t + 1] and (t, int(runs[k])) not in met:
                             met.add((t, int(runs[k])))
                             out.append((ids[at + t], -2, int(runs[k].astype(np.int64)), spelled(raw, start, stop, int(k), size), size))
                 hit: set[int] = set()
                 for kind, low, text in window_minima(own, owner, classes):
-                    good = passes[slot(kind, low)]
+                    good = passes[slot(kind, low, bits)]
                     if good.any():
                         low, text = low[good], text[good]
                         low, first = np.unique(low ^ (text.astype(np.uint64) << np.uint64(40)), return_index=True)
@@ -131,7 +133,7 @@ def document_rows(docs: DataFrame, classes: list[int], short: list[int], filter_
                             hit.add(int(t))
                             out.append((ids[at + int(t)], kind, int(v.astype(np.int64)), None, 0))
                 if hit:
-                    good = np.flatnonzero(np.isin(owner, list(hit)) & passes[slot(-1, own)])
+                    good = np.flatnonzero(np.isin(owner, list(hit)) & passes[slot(-1, own, bits)])
                     seen = set()
                     for k in good:
                         key = (int(owner[k]), int(own[k]))
@@ -187,8 +189,9 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_shared bigint, n_item bigint, containment double")
     nameless = docs.where("doc_id is null").select(row_key().alias("doc_id")).distinct()
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), row_key()).alias("doc_id"), "text")
-    bit_map = np.zeros(1 << FILTER_BITS, bool)
-    for batch in own.select("kind", "value").mapInArrow(_slots, "slot bigint").distinct().toArrow().to_batches():
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * own.count()).bit_length()))
+    bit_map = np.zeros(1 << bits, bool)
+    for batch in own.select("kind", "value").mapInArrow(lambda batches: _slots(bits, batches), "slot bigint").distinct().toArrow().to_batches():
         bit_map[batch.column(0).to_numpy()] = True
     rows, _ = stored(document_rows(docs, classes, short, np.packbits(bit_map).tobytes()), "overlap")
     sets = own.where("kind = -1").groupBy("id").agg(F.countDistinct("shingle").alias("n_item"))
@@ -197,16 +200,14 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         .join(own.where("kind >= 0").select(F.col("id").alias("item_id"), "kind", "value").distinct(), ["kind", "value"])
         .select("doc_id", "item_id").distinct()
     )
+    same = lambda x, y, names: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in names]
+    held = rows.where("kind = -1").select(F.col("id").alias("doc_id"), "shingle").distinct().join(pairs, "doc_id")
+    wanted = own.where("kind = -1").select(F.col("id").alias("item_id"), "shingle").distinct()
     shared = (
-        rows.where("kind = -1").select(F.col("id").alias("doc_id"), "shingle").distinct()
-        .join(own.where("kind = -1").select(F.col("id").alias("item_id"), "shingle").distinct(), "shingle")
+        held.alias("s").join(wanted.alias("w"), same("s", "w", ["item_id", "shingle"])).select("s.*")
         .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     )
-    same = lambda x, y, names: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in names]
-    found = (
-        shared.alias("s").join(pairs.alias("p"), same("s", "p", ["doc_id", "item_id"]), "left_semi").alias("s")
-        .join(sets.withColumnRenamed("id", "item_id").alias("i"), same("s", "i", ["item_id"])).select("s.*", "i.n_item")
-    )
+    found = shared.alias("s").join(sets.withColumnRenamed("id", "item_id").alias("i"), same("s", "i", ["item_id"])).select("s.*", "i.n_item")
     if short:
         whole = (
             rows.where("kind = -2").select(F.col("id").alias("doc_id"), "shingle").distinct()
@@ -219,18 +220,19 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     return found.select(F.when(F.col("none").isNull(), F.col("doc_id")).alias("doc_id"), "item_id", "n_shared", "n_item", "containment")
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slots(bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kind, value = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint64)
-        found = [slot(int(k), value[kind == k]) for k in np.unique(kind)]
+        found = [slot(int(k), value[kind == k], bits) for k in np.unique(kind)]
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found or [np.zeros(0, np.int64)])))], ["slot"])
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that contain no item, each row judged by itself; columns as they are."""
     found = find_items(docs.select(row_key().alias("doc_id"), "text"), items)
-    found, _ = stored(found.select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
-    return docs.withColumn("_row", row_key()).join(found, "_row", "left_anti").select(docs.columns)
+    row = fresh(docs, "row")
+    found, _ = stored(found.select(F.col("doc_id").alias(row)).distinct(), "contaminated")
+    return docs.withColumn(row, row_key()).join(found, row, "left_anti").select(docs.columns)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

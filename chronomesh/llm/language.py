@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, row_key, scratch, stored, table
+from .common import file_system, fresh, row_key, scratch, stored, table
 
 ORDER = 4  # longest context, bytes
 SAMPLE = 400  # training documents a language at most, the first by hash of their id
@@ -261,8 +261,9 @@ def keep_known(docs: DataFrame) -> DataFrame:
         return docs
     found = predict(docs.select(row_key().alias("doc_id"), "text"), uri)
     found = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= MAX_BITS))
-    kept, _ = stored(found.select(F.col("doc_id").alias("_row")).distinct(), "known")
-    return docs.withColumn("_row", row_key()).join(kept, "_row", "left_semi").select(docs.columns)
+    row = fresh(docs, "row")
+    kept, _ = stored(found.select(F.col("doc_id").alias(row)).distinct(), "known")
+    return docs.withColumn(row, row_key()).join(kept, row, "left_semi").select(docs.columns)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ The CRF labels segments of tokens.  Features see a candidate span as a whole (it
 checksum, separators, what stands before it), and dynamic programming over
 segments of at most MOST tokens picks boundaries and types together.  It is trained here, by
 exact likelihood, on sentences made from a grammar of personal data and of the
-numbers that are none.  Text is only segmented around triggers (a digit, an at
-sign, a written "at"): everywhere else no candidate exists.
+numbers that are none.  A segment of several tokens is a candidate if it holds one at sign, plain
+or written, or nothing but NUMBERS of digits in some groups; a token alone if it has
+so many digits, or digits and letters at length.  Whatever else a line holds is no entity, so
+the program runs over stretches of candidates, each from no entity into no entity.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,10 @@ ORDER = {k: n for n, k in enumerate((*KINDS, "email_written", "phone_local", "se
 MOST = 14
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 TRIGGER = re.compile(r"[0-9@]|[\[(]\s?[aA][tT]\s?[\])]")
-BEFORE, AFTER = 40, 72
+WRITTEN = re.compile(r"[\[(]\s?([aA][tT])\s?[\])]")
+DIGIT = re.compile("[0-9]")
+NUMBERS, GROUPS, MARKS = range(7, 20), 5, frozenset("-.()/+")  # of a candidate without an at sign; its tokens are NUMERIC_MOST at most
+NUMERIC_MOST, LONG_TOKEN = 9, 16
 
 
 def luhn(digits: str) -> bool:
@@ -133,31 +139,72 @@ def span_features(span: str, tokens: int, before: str, after: str, words: set[st
     return out
 
 
-def segments(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[list[int]]]:
-    """(token spans, candidate segments as token ranges, their features) of a stretch of text.
+def segments(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], list[list[int]], list[bool]]:
+    """(token spans, candidate segments as token ranges by start, their features, whether each may be an entity) of a text.
 
-    Single tokens are candidates for no entity; a longer candidate holds a trigger
-    and no line end, and does not end in a mark other than a bracket it opened.
+    A single token is always a candidate for no entity.  No candidate crosses a line end, and none ends in a mark.
     """
     spans = [m.span() for m in TOKEN.finditer(text)]
-    hot = [bool(TRIGGER.search(text, a, b)) for a, b in spans]
-    for m in TRIGGER.finditer(text):
-        for k, (a, b) in enumerate(spans):
-            if a < m.end() and b > m.start():
-                hot[k] = True
-    out, features = [], []
-    for i, (a, _) in enumerate(spans):
-        words = {text[x:y].lower() for x, y in spans[max(0, i - 5) : i] if text[x].isalpha()}
-        for j in range(i + 1, min(len(spans), i + MOST) + 1):
-            b = spans[j - 1][1]
-            if j > i + 1:
-                if "\n" in text[a:b]:
-                    break
-                if not any(hot[i:j]) or not (text[b - 1].isalnum()) or not (text[a].isalnum() or text[a] in "+("):
-                    continue
-            out.append((i, j))
-            features.append(span_features(text[a:b], j - i, text[a - 1 : a] or " ", text[b : b + 1] or " ", words))
-    return spans, out, features
+    n = len(spans)
+    digits = [len(DIGIT.findall(text, a, b)) for a, b in spans]
+    alnum = [text[a].isalnum() for a, _ in spans]
+    fresh = [k > 0 and "\n" in text[spans[k - 1][1] : a] for k, (a, _) in enumerate(spans)]  # first of a line
+    apart = [k > 0 and a > spans[k - 1][1] for k, (a, _) in enumerate(spans)]
+    written = {m.start(1) for m in WRITTEN.finditer(text)}
+    signs = [k for k, (a, b) in enumerate(spans) if text[a:b] == "@" or a in written]
+    is_sign = set(signs)
+    out, features, typed = [], [], []
+
+    def put(i: int, j: int, entity: bool) -> None:
+        a, b = spans[i][0], spans[j - 1][1]
+        words = set()
+        for k in range(i - 1, max(-1, i - 6), -1):
+            if fresh[k + 1]:
+                break
+            if text[spans[k][0]].isalpha():
+                words.add(text[slice(*spans[k])].lower())
+        out.append((i, j))
+        features.append(span_features(text[a:b], j - i, text[a - 1 : a] or " ", text[b : b + 1] or " ", words))
+        typed.append(entity)
+
+    for i, (a, b) in enumerate(spans):
+        put(i, i + 1, digits[i] in NUMBERS or b - a >= LONG_TOKEN and 0 < digits[i])
+        if not (alnum[i] or text[a] in "+("):
+            continue
+        at = bisect_left(signs, i)
+        sign = at < len(signs) and signs[at] < i + MOST
+        total, groups, space, numeric, held = digits[i], int(digits[i] > 0), False, digits[i] == b - a or not alnum[i], int(i in is_sign)
+        for j in range(i + 2, min(n, i + (MOST if sign else NUMERIC_MOST)) + 1):
+            k = j - 1
+            if fresh[k]:
+                break
+            x, y = spans[k]
+            total, groups, space, held = total + digits[k], groups + (digits[k] > 0), space or apart[k], held + (k in is_sign)
+            numeric = numeric and (digits[k] == y - x or text[x] in MARKS)
+            if held > 1 or not sign and (not numeric or groups > GROUPS or total >= NUMBERS.stop):
+                break
+            if not alnum[k]:
+                continue
+            if held and (not space or text[spans[signs[at]][0]] != "@"):
+                put(i, j, True)
+            elif numeric and j - i <= NUMERIC_MOST and groups <= GROUPS and (total in NUMBERS or j - i == 7 and groups == 4):
+                put(i, j, True)
+    return spans, out, features, typed
+
+
+def stretches(n: int, ranges: list[tuple[int, int]], typed: list[bool]) -> Iterator[tuple[int, int]]:
+    """Token ranges that possible entities cover, those that overlap together."""
+    first = last = -1
+    for (i, j), entity in zip(ranges, typed, strict=True):
+        if not entity:
+            continue
+        if i >= last:
+            if last > first:
+                yield first, last
+            first = i
+        last = max(last, j)
+    if last > first:
+        yield first, last
 
 
 def padded(features: list[list[int]]) -> np.ndarray:
@@ -182,19 +229,32 @@ class SemiMarkov:
         self.weights = np.zeros((_BUCKETS + 1, len(TYPES)))
         self.after = np.zeros((len(TYPES), len(TYPES)))
 
-    def scores(self, ranges: list[tuple[int, int]], features: list[list[int]]) -> np.ndarray:
+    def scores(self, ranges: list[tuple[int, int]], features: list[list[int]], typed: list[bool]) -> np.ndarray:
         s = self.weights[padded(features)].sum(axis=1)
         long = np.array([j - i > 1 for i, j in ranges])
         s[long, 0] = -np.inf  # no entity is one token long
+        s[~np.array(typed), 1:] = -np.inf
         return s
 
     def best(self, text: str) -> list[tuple[int, int, str]]:
         """Entities of the best segmentation: (start, end, type); ties go to the shorter segment and the first type."""
-        spans, ranges, features = segments(text)
-        if not ranges:
-            return []
-        s = self.scores(ranges, features)
-        n = len(spans)
+        spans, ranges, features, typed = segments(text)
+        out, k = [], 0
+        for first, last in stretches(len(spans), ranges, typed):
+            while ranges[k][0] < first:
+                k += 1
+            m = k
+            while m < len(ranges) and ranges[m][0] < last:
+                m += 1
+            s = self.scores(ranges[k:m], features[k:m], typed[k:m])
+            own = [(i - first, j - first) for i, j in ranges[k:m]]
+            for i, j, y in self.path(last - first, own, s, last < len(spans)):
+                out.append((spans[first + i][0], spans[first + j - 1][1], TYPES[y]))
+            k = m
+        return out
+
+    def path(self, n: int, ranges: list[tuple[int, int]], s: np.ndarray, more: bool) -> list[tuple[int, int, int]]:
+        """Entities of the best segmentation of ``n`` tokens that stand after no entity, and before one more such token if ``more``."""
         value = np.full((n + 1, len(TYPES)), -np.inf)
         value[0, 0] = 0
         back: dict[tuple[int, int], tuple[int, int]] = {}
@@ -211,20 +271,20 @@ class SemiMarkov:
                     back[j, int(y)] = (ranges[k][0], int(source[y]))
             into = value[j][:, None] + self.after
             enter[j] = (into.max(axis=0), into.argmax(axis=0))
-        j, y = n, int(value[n].argmax())
+        j, y = n, int((value[n] + (self.after[:, 0] if more else 0)).argmax())
         out = []
         while j:
             i, source = back[j, y]
             if y:
-                out.append((spans[i][0], spans[j - 1][1], TYPES[y]))
+                out.append((i, j, y))
             j, y = i, source
         return out[::-1]
 
     def step(self, text: str, gold: dict[tuple[int, int], int], sums: tuple[np.ndarray, np.ndarray], rate: float) -> None:
         """One AdaGrad step on the log-likelihood of a sentence; ``gold`` has the type of each entity's (start, end)."""
-        spans, ranges, features = segments(text)
+        spans, ranges, features, typed = segments(text)
         n, k = len(spans), len(TYPES)
-        s = self.scores(ranges, features)
+        s = self.scores(ranges, features, typed)
         by_start: list[list[int]] = [[] for _ in range(n)]
         by_end: list[list[int]] = [[] for _ in range(n + 1)]
         for e, (i, j) in enumerate(ranges):
@@ -339,35 +399,37 @@ def train(sentences: int = 700, rounds: int = 2, seed: int = 7) -> SemiMarkov:
     return model
 
 
-def islands(text: str) -> list[tuple[int, int]]:
-    """Stretches around triggers, from and to a line end or white space."""
-    out: list[tuple[int, int]] = []
-    for m in TRIGGER.finditer(text):
-        if out and m.start() + 24 < out[-1][1]:
-            continue  # well inside the last stretch
-        a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
+def merged(base: list[tuple[int, str, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what base spans, ordered by start, cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in base:
+        if starts and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
         else:
-            out.append((a, b))
-    return out
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def added_spans(text: str, base: list[tuple[int, str, int]], model: SemiMarkov) -> list[tuple[int, str, int]]:
-    """Entities of the CRF that overlap no base span, under names of their own."""
-    out = []
-    for a, b in islands(text):
-        while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
-            a += 1
-            if a >= b:
-                break
-        near = [(s, e) for s, _, e in base if s < b and e > a]
-        if near and len(TRIGGER.findall(text, a, b)) == sum(len(TRIGGER.findall(text, max(s, a), min(e, b))) for s, e in near):
-            continue  # every trigger lies in a base span: nothing to add
+    """Entities of the CRF that overlap no base span, under names of their own; lines are judged each by itself."""
+    starts, ends = merged(base)
+
+    def covered(a: int, b: int) -> bool:
+        k = bisect_left(ends, a + 1)
+        return k < len(starts) and starts[k] < b
+
+    out, at = [], 0
+    while m := TRIGGER.search(text, at):
+        a = text.rfind("\n", 0, m.start()) + 1
+        b = text.find("\n", m.start())
+        at = b = len(text) if b < 0 else b
+        if all(covered(*x.span()) for x in TRIGGER.finditer(text, a, b)):
+            continue
         for start, end, kind in model.best(text[a:b]):
-            start, end = start + a, end + a
-            if kind in ADDED and not any(s < end and e > start for s, e in near):
-                out.append((start, ADDED[kind], end))
+            if kind in ADDED and not covered(start + a, end + a):
+                out.append((start + a, ADDED[kind], end + a))
     return out
 
 

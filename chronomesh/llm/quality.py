@@ -36,7 +36,7 @@ def hashed(kind: int, value: int) -> int:
 def features(texts: list[str | None]) -> list[np.ndarray]:
     """Distinct hashed features of each whole text: words, their stems, runs of marks, and shares of capitals, repeats and marks in steps."""
     out: list[np.ndarray] = []
-    for at, to, raw, value, start, stop, cuts in batched(texts):
+    for at, to, raw, value, start, stop, cuts, first in batched(texts):
         bucket = [(value >> np.uint64(64 - BUCKETS)).astype(np.int64)]
         byte = np.frombuffer(raw, np.uint8)
         for n in STEMS:
@@ -53,8 +53,7 @@ def features(texts: list[str | None]) -> list[np.ndarray]:
             if not n:
                 out.append(np.array([hashed(KINDS["length"], 0)]))
                 continue
-            body = raw[start[cuts[k - at]] : stop[cuts[k - at + 1] - 1] + 8]
-            marks = MARKS.findall(body)
+            marks = MARKS.findall(raw[first[k - at] : first[k - at + 1] - 1])
             distinct = {m[:3] for m in marks}
             upper = capitals(text)
             shape = [

@@ -7,9 +7,9 @@ candidates agree in that segment and in a half of the next one; a candidate
 must then pass the chain test before the full Hamming test.
 
 Links are sought between distinct fingerprints.  Buckets of at most ``BUCKET``
-fingerprints are joined with the tests as join conditions.  The fingerprints of larger buckets
-go an exact other way: any two at distance 2 or less share a point at distance 1
-or less of both, and no point has more than 65 such fingerprints.
+fingerprints are joined with the tests as join conditions.  Larger buckets are divided by further bits: of
+three parts of those that are left, two such fingerprints agree in one at least.  That is done twice,
+and then 15 bits are left at most, so no bucket has more than 2**15 fingerprints.
 
 That is op1.  The pipeline's stage asks for a likeness of ``LIKENESS`` of five-word shingles.  Such pairs differ
 in ten bits of 64 and up to ``RADIUS``, where no run of segments is rare enough to look candidates up by.
@@ -27,10 +27,9 @@ from operator import and_
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import components, linked, row_key, stored, table
+from .common import components, drop_path, fresh, linked, row_key, stored, table
 from .words import mix
 
 SEED, SHINGLE = 42, 3
@@ -98,17 +97,22 @@ def bits(fp: Column, first: int, size: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << size) - 1))
 
 
-def ring_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp): for each segment, its bits with either half of the next segment's."""
-    keys = []
+def ring_masks() -> list[list[int]]:
+    """Bits of each key: for each segment, its own with either half of the next one's; and twice the same with a third of those left."""
+    levels = [[]]
     for i, (first, size) in enumerate(SEGMENTS):
         after, n = SEGMENTS[(i + 1) % 3]
-        for half, (start, width) in enumerate(((after, n // 2), (after + n // 2, n - n // 2))):
-            keys.append(
-                F.lit((2 * i + half) << 40).bitwiseOR(F.shiftleft(bits(F.col("fp"), first, size), 12))
-                .bitwiseOR(bits(F.col("fp"), start, width))
-            )
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+        for start, width in ((after, n // 2), (after + n // 2, n - n // 2)):
+            levels[0].append((1 << size) - 1 << first | (1 << width) - 1 << start)
+    for _ in range(2):
+        levels.append([])
+        for mask in levels[-2]:
+            left = [b for b in range(64) if not mask >> b & 1]
+            levels[-1] += [mask | sum(1 << b for b in left[k * len(left) // 3 : (k + 1) * len(left) // 3]) for k in range(3)]
+    return [[m - (1 << 64) if m >> 63 else m for m in level] for level in levels]
+
+
+MASKS = ring_masks()
 
 
 def chained(x: Column, segments: tuple = SEGMENTS, most: int = 2) -> Column:
@@ -127,24 +131,26 @@ def chained(x: Column, segments: tuple = SEGMENTS, most: int = 2) -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) joining the distinct fingerprints ``fps`` (fp) so that components are those of all links of 2 bits or fewer."""
-    keys, _ = stored(ring_keys(fps), "ring")
-    size = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    few = keys.join(size.where(F.col("n") <= BUCKET).select("key"), "key", "left_semi")
+    keys = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in MASKS[0]])).alias("tag", "part"))
     x = F.col("a").bitwiseXOR(F.col("b"))
-    cold = (
-        few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key")
-        .where((F.col("a") < F.col("b")) & chained(x)).select("a", "b")
-    )
-    many = keys.join(size.where(F.col("n") > BUCKET).select("key"), "key", "left_semi").select("fp").distinct()
-    point = F.explode(F.array_append(F.transform(
-        F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))
-    ), F.col("fp")))
-    hot = (
-        many.select("fp", point.alias("point")).groupBy("point").agg(F.collect_list("fp").alias("near"))
-        .where(F.size("near") > 1).select(F.array_min("near").alias("a"), F.explode("near").alias("b"))
-        .where("a <> b")
-    )
-    return cold.union(hot).distinct()
+    found = None
+    for level in range(len(MASKS)):
+        keys, _ = stored(keys, "ring")
+        size = keys.groupBy("tag", "part").agg(F.count("*").alias("n")).where("n > 1")
+        last = level + 1 == len(MASKS)
+        few = keys.join(size if last else size.where(F.col("n") <= BUCKET), ["tag", "part"], "left_semi")
+        pairs = (
+            few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), ["tag", "part"])
+            .where((F.col("a") < F.col("b")) & chained(x)).select("a", "b")
+        )
+        found = pairs if found is None else found.union(pairs)
+        if last:
+            break
+        masks = F.array(*[F.lit(m) for m in MASKS[level + 1]])
+        many = keys.join(size.where(F.col("n") > BUCKET), ["tag", "part"], "left_semi")
+        many = many.select("fp", F.explode(F.sequence(3 * F.col("tag"), 3 * F.col("tag") + 2)).alias("tag"))
+        keys = many.select("fp", "tag", F.col("fp").bitwiseAND(F.get(masks, F.col("tag"))).alias("part"))
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -255,7 +261,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Near copies have a Jaccard likeness of LIKENESS or more of their WORDS-word shingles, and a group is what
     such links reach.  Texts without a word are one group.  Null doc_ids come after all others; rows that
-    repeat a doc_id are judged one by one, and rows alike in doc_id and text are copies.
+    repeat a doc_id are judged one by one, and of rows alike in doc_id and text any one stays.
     """
     own, own_path = stored(shingle_sets(docs), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
@@ -273,18 +279,19 @@ def keep_first(docs: DataFrame) -> DataFrame:
     def near(a: str, b: str) -> Column:
         return chained(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp")), EIGHTHS, RADIUS)
 
-    members = one.select("id", F.explode("bands").alias("bucket"))
-    label = linked(members, one.select("id", "fp"), near, texts, similar_texts)
+    label = linked(one.select("id", F.col("bands").alias("keys"), "fp"), near, texts, similar_texts)
     named = one.join(label.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
-    names = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    row = fresh(docs, "row")
+    names = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     names, _ = stored(names, "kept")
-    kept = docs.withColumn("_row", row_key()).join(names, "_row", "left_semi")
-    twice, _ = stored(own.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("_row")), "twice")
+    kept = docs.withColumn(row, row_key()).join(names, row, "left_semi")
+    twice, _ = stored(own.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias(row)), "twice")
+    for path in paths:
+        drop_path(docs.sparkSession, path)
     if twice.isEmpty():
         return kept.select(docs.columns)
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy("text"))
-    again = kept.join(twice, "_row", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(docs.columns)
-    return kept.join(twice, "_row", "left_anti").select(docs.columns).union(again)
+    one = kept.join(twice, row, "left_semi").groupBy(row).agg(F.any_value(F.struct(*docs.columns)).alias("one")).select("one.*")
+    return kept.join(twice, row, "left_anti").select(docs.columns).union(one)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

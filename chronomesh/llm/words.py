@@ -62,11 +62,11 @@ def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def batched(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Words of texts, small ones together: (first text, text after, bytes, hash, start, stop, words before each text).
+def batched(texts: list[str | None], most: int = PIECE) -> Iterator[tuple]:
+    """Words of texts, small ones together: (first text, text after, bytes, hash, start, stop, words before each text, first byte of each text).
 
-    The last array has one entry more than texts, so text k of the run has words
-    cuts[k] to cuts[k + 1].
+    The last two arrays have one entry more than texts, so text k of the run has words
+    cuts[k] to cuts[k + 1] and bytes first[k] to first[k + 1] - 1.
     """
     at = 0
     while at < len(texts):
@@ -78,7 +78,7 @@ def batched(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[int, i
         raw = b"\n".join(parts)
         first = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
         value, start, stop = hashed_words(raw)
-        yield at, k, raw, value, start, stop, np.searchsorted(start, first)
+        yield at, k, raw, value, start, stop, np.searchsorted(start, first), first
         at = k
 
 
