@@ -149,8 +149,8 @@ def linked(
 ) -> DataFrame:
     """(node, component) of the items (id, keys, ...) that are alike and share a key.
 
-    ``similar`` stores those of its pairs (a, b) of ``texts`` that are alike; only pairs that are ``near`` by the
-    items' other columns get there.  A bucket's members are first compared with the one of the largest id alone, its
+    ``texts`` stores the text of given ids, with the other columns of the items.  ``similar`` stores those of its
+    pairs (a, b) that are alike; only pairs that are ``near`` by the items' other columns get there.  A bucket's members are first compared with the one of the largest id alone, its
     hub.  Where that leaves members in different components, a bucket of FEW compares them all, and a larger one compares
     them with two hubs more: the next by id, and one that its key picks.  So pairs are fewer than FEW
     a row of (id, key), however large a bucket is.  Links inside a large bucket that none of its three hubs is part of
@@ -171,7 +171,7 @@ def linked(
         drop_path(spark, paths[0])
         return spark.createDataFrame([], "node bigint, component bigint")
     known = texts(met.select("id").union(met.select(F.col("hub").alias("id"))).distinct())
-    marks = items.drop("keys")
+    marks = known.select(items.drop("keys").columns)
 
     def tested(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

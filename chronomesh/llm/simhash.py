@@ -270,9 +270,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     paths = [own_path, one_path]
 
     def texts(candidates: DataFrame) -> DataFrame:
-        wanted = one.join(candidates, "id", "left_semi").select(F.col("first.row").alias("row"), "id")
+        wanted = one.join(candidates, "id", "left_semi").select(F.col("first.row").alias("row"), "id", "fp")
         found = docs.select(row_key().alias("row"), F.col("text").cast("string").alias("text")).join(wanted, "row")
-        found, path = stored(found.groupBy("id").agg(F.any_value("text").alias("text")), "texts")
+        found, path = stored(found.groupBy("id", "fp").agg(F.any_value("text").alias("text")), "texts")
         paths.append(path)
         return found
 
