@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,9 +35,15 @@ def relative_error(a: Column, b: Column) -> Column:
     return F.when(norm(a) < 1e-12, F.lit(0.0)).otherwise(euclid(a, b) / norm(a))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(a: Column) -> Column:
-    e = F.transform(a, lambda v: F.exp(v - F.array_max(a)))
-    return F.transform(e, lambda v: v / total(e))
+    return let(a, lambda x: let(F.array_max(x), lambda top: let(
+        F.transform(x, lambda v: F.exp(v - top)), lambda e: let(total(e), lambda s: F.transform(e, lambda v: v / s))
+    )))
 
 
 def diagonal_fisher(p: Column) -> Column:
@@ -63,8 +70,7 @@ def descend(logits: Column, target: int, rate: float = 0.1, steps: int = 8, natu
     """Logits after gradient steps towards a class, one expression."""
     def step(at: Column, _: Column) -> Column:
         g = cross_entropy_gradient(at, target)
-        g = natural_gradient(g, softmax(at), epsilon) if natural else g
-        return F.zip_with(at, g, lambda x, d: x - rate * d)
+        return let(natural_gradient(g, softmax(at), epsilon) if natural else g, lambda d: F.zip_with(at, d, lambda x, y: x - rate * y))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), logits, step)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronomesh.plans.storage import stored
+
 
 def cells(nodes: DataFrame, size: float) -> DataFrame:
     return nodes.select("*", *[F.floor(F.col(c) / size).cast("bigint").alias("c" + c) for c in "xyz"])
@@ -70,30 +72,33 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, causal:
     """(query, point, d, nth) of the ``k`` nearest points of each query, ties by id; a query that is a point finds itself.
 
     Exact by widening: queries take their neighbour cells first; those that have not k points within
-    the cell's width try twice the width, and so on.  ``causal``: a point's time_step is not after the query's.
+    the cell's width try twice the width, and so on, each round stored.  Queries that have fewer than k points in
+    all are held against those few at once.  ``causal``: a point's time_step is not after the query's.
     """
     n = points.count()
-    left, done, width = queries, [], cell
-    extent = points.agg(*[F.max(c).alias("h" + c) for c in "xyz"], *[F.min(c).alias("l" + c) for c in "xyz"]).first()
-    reach = extent and extent.hx is not None and max(extent[f"h{c}"] - extent[f"l{c}"] for c in "xyz") or 0.0
-    far = queries.agg(*[F.max(F.abs(c)).alias(c) for c in "xyz"]).first()
-    reach = 4 * (reach + sum(abs(v or 0) for v in far) + sum(abs(extent[f"h{c}"] or 0) + abs(extent[f"l{c}"] or 0) for c in "xyz") + cell)
-    while n:
-        pairs = near_pairs(left, points, width)
+    few, late = (points, queries.where("false")) if n < k else (points.where("false"), queries)
+    if causal and n >= k:
+        steps = points.groupBy("time_step").agg(F.count("*").alias("c"))
+        so_far = steps.select("time_step", F.sum("c").over(W.orderBy("time_step")).alias("c"))  # a row a step of time
+        first = so_far.where(F.col("c") >= k).agg(F.min("time_step")).first()[0]
+        few, late = points.where(F.col("time_step") < first), queries.where(F.col("time_step") >= first)
+        early = queries.where(F.col("time_step") < first)
+    else:
+        early = queries if n < k else queries.where("false")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
         if causal:
             pairs = pairs.where("b_time_step <= a_time_step")
         nth = F.row_number().over(W.partitionBy("a_id").orderBy("d", "b_id"))
-        ranked = pairs.select(F.col("a_id").alias("query"), F.col("b_id").alias("point"), "d", nth.alias("nth")).where(F.col("nth") <= k)
-        if width >= reach:
-            done.append(ranked)
-            break
-        full = ranked.where(F.col("nth") == k).select("query")
-        done.append(ranked.join(full, "query", "left_semi"))
-        rest = left.join(full.withColumnRenamed("query", "id"), "id", "left_anti")
-        if rest.isEmpty():
-            break
-        left, width = rest, 2 * width
-    out = done[0] if done else None
-    for d in done[1:]:
-        out = out.unionByName(d)
+        return pairs.select(F.col("a_id").alias("query"), F.col("b_id").alias("point"), "d", nth.alias("nth")).where(F.col("nth") <= k)
+
+    a, b = (df.select(*[F.col(c).alias(p + c) for c in df.columns]) for df, p in ((early, "a_"), (few, "b_")))
+    out = ranked(a.crossJoin(F.broadcast(b)).withColumn("d", distance("a_", "b_")))  # b has fewer than k rows
+    left, width = late, cell
+    while not left.isEmpty():
+        near, _ = stored(ranked(near_pairs(left, points, width)), "near")
+        full = near.where(F.col("nth") == k).select("query")
+        out = out.unionByName(near.join(full, "query", "left_semi"))
+        left, _ = stored(left.join(full.withColumnRenamed("query", "id"), "id", "left_anti"), "rest")
+        width *= 2
     return out

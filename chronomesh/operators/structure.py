@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -118,7 +119,7 @@ def causal_intervals(graph: Graph) -> DataFrame:
     step, _ = stored(graph.edges.where("end_ts > begin_ts").select("src", "dst").distinct(), "causal")
     front, _ = stored(step.withColumn("proper_time", F.lit(1)), "causal")
     pairs = front
-    for hops in range(2, 10_000):
+    for hops in count(2):
         front, _ = stored(
             front.select("src", F.col("dst").alias("mid")).join(step.withColumnRenamed("src", "mid"), "mid").select("src", "dst").distinct().withColumn("proper_time", F.lit(hops)), "causal"
         )

@@ -7,18 +7,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronomesh.functions.vectors import dot
+from chronomesh.functions.vectors import dot, euclid, quantized
 from chronomesh.operators.spatial import nearest
 
 
 def attention(queries: DataFrame, cache: DataFrame, scale: float) -> DataFrame:
     """(query, out): softmax(q . k * scale) weighted values of (query, q) over (token, key, value).
 
-    The queries are a stated set held against all rows; scores are folded per query with a running
-    maximum taken first, so no row of scores is gathered.
+    The queries are a stated set held against all rows.  A query's largest score is one aggregate and its sums
+    another, both combined where the rows lie, so no row of scores is gathered.
     """
     s = queries.join(cache).select("query", (dot(F.col("q"), F.col("key")) * scale).alias("s"), "value")
-    s = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(W.partitionBy("query"))))
+    top = s.groupBy("query").agg(F.max("s").alias("top"))
+    s = s.join(top, "query").withColumn("e", F.exp(F.col("s") - F.col("top")))
     each = s.select("query", "e", F.posexplode("value").alias("dim", "v")).groupBy("query", "dim").agg((F.sum(F.col("e") * F.col("v")) / F.sum("e")).alias("o"))
     return each.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("dim", "o"))).alias("x")).select("query", F.col("x.o").alias("out"))
 
@@ -219,6 +220,29 @@ def compressed_cache(cache: DataFrame, rank: int) -> DataFrame:
     return cache.groupBy("layer", "head").applyInPandas(fold, _CACHE)
 
 
+def attend_compressed(cache: DataFrame, queries: DataFrame, rank: int, scale: float) -> DataFrame:
+    """(layer, head, query, out): attention of (layer, head, query, q) over the heads' keys and values rebuilt from ``rank`` basis vectors."""
+    own = compressed_cache(cache, rank).select("layer", "head", "key", "value")
+    s = queries.join(own, ["layer", "head"]).select("layer", "head", "query", (dot(F.col("q"), F.col("key")) * scale).alias("s"), "value")
+    at = ["layer", "head", "query"]
+    s = s.join(s.groupBy(*at).agg(F.max("s").alias("top")), at).withColumn("e", F.exp(F.col("s") - F.col("top")))
+    each = s.select(*at, "e", F.posexplode("value").alias("dim", "v")).groupBy(*at, "dim").agg((F.sum(F.col("e") * F.col("v")) / F.sum("e")).alias("o"))
+    return each.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("dim", "o"))).alias("x")).select(*at, F.col("x.o").alias("out"))
+
+
+def channel_error(pairs: DataFrame) -> DataFrame:
+    """(channel, error): mean absolute difference of (a, b) in each place of the arrays."""
+    d = F.zip_with("a", "b", lambda x, y: F.abs(x - y))
+    return pairs.select(F.posexplode(d).alias("channel", "d")).groupBy("channel").agg(F.avg("d").alias("error"))
+
+
+def rotation_quantization_error(vectors: DataFrame, rotation: np.ndarray, levels: int = 4) -> DataFrame:
+    """(id, with_rotation, without_rotation): distance of each (id, v) to itself after steps taken in rotated and in plain coordinates."""
+    turned = quantized(rotated(F.col("v"), rotation), levels)
+    back = rotated(turned, np.asarray(rotation).T)
+    return vectors.select("id", euclid(F.col("v"), back).alias("with_rotation"), euclid(F.col("v"), quantized(F.col("v"), levels)).alias("without_rotation"))
+
+
 def covariance(vectors: DataFrame) -> np.ndarray:
     """Mean outer product of (id, v), summed on the cluster."""
     each = vectors.select("id", F.posexplode("v").alias("p", "x"))

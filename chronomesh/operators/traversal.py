@@ -8,7 +8,9 @@ and not the graph.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,8 +19,6 @@ from pyspark.sql import functions as F
 from chronomesh.plans.model import Context, Graph
 from chronomesh.plans.storage import drop_path, stored
 
-MOST_ROUNDS = 10_000
-
 
 def reach(edges: DataFrame, seeds: DataFrame, key: list[str] | None = None) -> DataFrame:
     """(key..., node, level) of every node reached from ``seeds`` (key..., node) over ``edges`` ([key...,] src, dst)."""
@@ -27,7 +27,7 @@ def reach(edges: DataFrame, seeds: DataFrame, key: list[str] | None = None) -> D
     links = edges.select(*shared, "src", "dst").distinct()
     front, _ = stored(seeds.select(*key, "node").distinct().withColumn("level", F.lit(0)), "front")
     levels = [front]
-    for level in range(1, MOST_ROUNDS):
+    for level in count(1):
         step = (
             front.withColumnRenamed("node", "src").join(links, [*shared, "src"])
             .select(*key, F.col("dst").alias("node")).distinct()
@@ -58,7 +58,7 @@ def reachable_in_order(graph: Graph, start: int, context: Context = Context()) -
     own = graph.within(context)
     front, _ = stored(own.nodes.where(F.col("id") == start).select(F.col("id").alias("node"), F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("rank")), "front")
     done, seen = [front], 1 if not front.isEmpty() else 0
-    for level in range(1, MOST_ROUNDS):
+    for level in count(1):
         step = (
             front.join(own.edges.select("src", "ord", "dst"), F.col("node") == F.col("src"))
             .groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("rank", "ord")).alias("via"))
@@ -75,25 +75,30 @@ def reachable_in_order(graph: Graph, start: int, context: Context = Context()) -
     return reduce(DataFrame.unionByName, done)
 
 
-def relax(seeds: DataFrame, edges: DataFrame, key: list[str], value: str, offer: Column, keep: list[Column]) -> DataFrame:
+def relax(
+    seeds: DataFrame, edges: DataFrame, key: list[str], value: str, offer: Column, keep: list[Column],
+    prune: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Least ``value`` a (key..., node) over chains of edges, with the columns that came with it.
 
     ``seeds`` has key..., node, ``value`` and what ``keep`` makes; ``offer`` is the value that an
     edge offers its ``dst`` (null: the edge cannot be taken), in terms of the source's columns and the
     edge's e_ columns.  Offers that do not improve are dropped, so rounds end when
-    nothing changes; equal values keep what sorts first.
+    nothing changes; equal values keep what sorts first.  ``prune`` takes out of a round's offers those that the
+    best values so far make useless.
     """
     columns = seeds.columns
     best, path = stored(seeds, "best")
     front = best
     links = edges.select(F.col("src").alias("node"), *[F.col(c).alias("e_" + c) for c in edges.columns if c != "src"])
     rest = [c for c in columns if c not in (*key, "node", value)]
-    for _ in range(MOST_ROUNDS):
+    while True:
         made = (
             front.join(links, "node").withColumn("_offer", offer).where("_offer is not null")
             .select(*key, F.col("e_dst").alias("node"), F.col("_offer").alias(value), *keep)
             .groupBy(*key, "node").agg(F.min(F.struct(value, *rest)).alias("s")).select(*key, "node", "s.*").select(columns)
         )
+        made = prune(made, best) if prune else made
         old = best.select(*key, "node", F.col(value).alias("_old"))
         front, front_path = stored(
             made.join(old, [*key, "node"], "left").where(F.col("_old").isNull() | (F.col(value) < F.col("_old"))).select(columns), "front"
@@ -108,35 +113,66 @@ def relax(seeds: DataFrame, edges: DataFrame, key: list[str], value: str, offer:
     return best
 
 
-def least_cost(graph: Graph, start: int, context: Context = Context()) -> DataFrame:  # noqa: B008
-    """(node, cost, path) by graph_weight * weight + spatial_weight * distance + temporal_weight * waiting for the edge's begin."""
-    own = graph.within(context)
+def costed(own: Graph, context: Context) -> DataFrame:
+    """(src, dst, cost) by graph_weight * weight + spatial_weight * distance + temporal_weight * waiting for the edge's begin, stored."""
     place = own.nodes.select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
     origin = own.nodes.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
-    long = F.sqrt(
-        (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 + (F.col("az") - F.col("bz")) ** 2
-    )
     begin = context.window.start if context.window else 0
     cost = (
-        context.graph_weight * F.col("weight") + context.spatial_weight * long
+        context.graph_weight * F.col("weight") + context.spatial_weight * apart("a", "b")
         + context.temporal_weight * F.greatest(F.col("begin_ts") - begin, F.lit(0))
     )
     edges = own.edges.join(origin, "src").join(place, "dst").groupBy("src", "dst").agg(F.min(cost).alias("cost"))
-    edges, _ = stored(edges, "costs")
+    return stored(edges, "costs")[0]
+
+
+def apart(a: str, b: str) -> Column:
+    return F.sqrt(sum(((F.col(a + c) - F.col(b + c)) ** 2 for c in "yz"), (F.col(a + "x") - F.col(b + "x")) ** 2))
+
+
+def least_cost(graph: Graph, start: int, context: Context = Context()) -> DataFrame:  # noqa: B008
+    """(node, cost, path) of every node reached."""
+    own = graph.within(context)
     seeds = own.nodes.where(F.col("id") == start).select(
         F.col("id").alias("node"), F.lit(0.0).alias("cost"), F.array("id").alias("path")
     )
-    return relax(seeds, edges, [], "cost", F.col("cost") + F.col("e_cost"), [F.array_append("path", F.col("e_dst")).alias("path")])
+    return relax(seeds, costed(own, context), [], "cost", F.col("cost") + F.col("e_cost"), [F.array_append("path", F.col("e_dst")).alias("path")])
 
 
-def cheapest_path(graph: Graph, start: int, goal: int, context: Context = Context()) -> DataFrame:  # noqa: B008
-    """(path, total_cost, heuristic_cost): one row, or none if the goal cannot be reached."""
-    ends = graph.nodes.where(F.col("id").isin(start, goal)).select("id", "x", "y", "z")
-    far = ends.alias("a").join(ends.alias("b"), (F.col("a.id") == start) & (F.col("b.id") == goal)).select(
-        F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2 + (F.col("a.z") - F.col("b.z")) ** 2).alias("d")
+def cheapest_paths(graph: Graph, asks: DataFrame, context: Context = Context()) -> DataFrame:  # noqa: B008
+    """(ask, path, total_cost, actual_cost, heuristic_cost) of the asks (ask, start, goal) whose goal can be reached; all run in one loop.
+
+    Goal-directed: an offer goes on only if it and the straight way from there to the goal, which
+    no path undercuts, cost less than the best path to the goal so far.
+    """
+    own = graph.within(context)
+    end = own.nodes.select(F.col("id").alias("goal"), *[F.col(c).alias("g" + c) for c in "xyz"])
+    start = own.nodes.select(F.col("id").alias("start"), *[F.col(c).alias("s" + c) for c in "xyz"])
+    posed, _ = stored(asks.join(end, "goal").join(start, "start"), "asks")
+    fixed = ["goal", "gx", "gy", "gz"]
+    seeds = posed.select("ask", F.col("start").alias("node"), F.lit(0.0).alias("cost"), F.array("start").alias("path"), *fixed)
+    place = own.nodes.select(F.col("id").alias("node"), *[F.col(c).alias("n" + c) for c in "xyz"])
+
+    def prune(made: DataFrame, best: DataFrame) -> DataFrame:
+        most = best.where("node = goal").select("ask", F.col("cost").alias("_most"))
+        near = made.join(place, "node").join(most, "ask", "left")
+        left = context.spatial_weight * apart("n", "g")
+        return near.where(F.col("_most").isNull() | (F.col("cost") + left < F.col("_most"))).select(made.columns)
+
+    found = relax(
+        seeds, costed(own, context), ["ask"], "cost", F.when(F.col("node") != F.col("goal"), F.col("cost") + F.col("e_cost")),
+        [F.array_append("path", F.col("e_dst")).alias("path"), *fixed], prune,
     )
-    found = least_cost(graph, start, context).where(F.col("node") == goal)
-    return found.join(F.broadcast(far)).select("path", F.col("cost").alias("total_cost"), (F.col("d") * context.spatial_weight).alias("heuristic_cost"))
+    ends = posed.select("ask", (context.spatial_weight * apart("s", "g")).alias("heuristic_cost"))
+    return found.where("node = goal").join(ends, "ask").select(
+        "ask", "path", F.col("cost").alias("total_cost"), F.col("cost").alias("actual_cost"), "heuristic_cost"
+    )
+
+
+def cheapest_path(graph: Graph, start: int, goal: int, context: Context = Context()) -> DataFrame:  # noqa: B008
+    """(path, total_cost, actual_cost, heuristic_cost): one row, or none if the goal cannot be reached."""
+    ask = graph.nodes.sparkSession.createDataFrame([(0, start, goal)], "ask bigint, start bigint, goal bigint")
+    return cheapest_paths(graph, ask, context).drop("ask")
 
 
 def edge_start(arrival: Column) -> Column:
@@ -207,7 +243,7 @@ def component_labels(nodes: DataFrame, links: DataFrame, key: list[str] | None =
     both = links.select(*key, F.col("u").alias("a"), F.col("v").alias("b")).union(links.select(*key, F.col("v").alias("a"), F.col("u").alias("b")))
     both, _ = stored(both, "links")
     label, path = stored(nodes.select(*key, "node", F.col("node").alias("component")), "label")
-    for _ in range(MOST_ROUNDS):
+    while True:
         near = (
             both.join(label.withColumnRenamed("node", "b"), [*key, "b"])
             .groupBy(*key, F.col("a").alias("node")).agg(F.min("component").alias("low"))
@@ -222,7 +258,6 @@ def component_labels(nodes: DataFrame, links: DataFrame, key: list[str] | None =
         label, path = new.drop("moved"), new_path
         if not moved:
             return label
-    return label
 
 
 def strong_components(graph: Graph, context: Context = Context()) -> DataFrame:  # noqa: B008

@@ -38,13 +38,21 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from chronomesh.plans import reports  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
+def also(name: str, other: str) -> None:
+    """A second name of a query."""
+    register(other, _SQL.get(name))(_QUERIES[name])
+
+
 def r6(c: str):
     return F.round(F.col(c), 6).alias(c)
 
@@ -135,25 +143,15 @@ def sparse_attention(spark: SparkSession, d: str) -> DataFrame:
 @register("dense_attention", """WITH q AS (SELECT vec_id AS query, embedding FROM embeddings WHERE vec_id % 20 = 0),
  s AS (SELECT query, e.vec_id AS token, list_sum(list_transform(range(1, 65), lambda k: CAST(q.embedding[k] AS DOUBLE) * CAST(e.embedding[k] AS DOUBLE))) * 2.0 AS s, e.embedding AS v FROM q CROSS JOIN embeddings e),
  x AS (SELECT query, exp(s - max(s) OVER (PARTITION BY query)) AS w, v FROM s)
- SELECT query, CAST(d AS INTEGER) AS dim, round(sum(w * CAST(v[d + 1] AS DOUBLE)) / sum(w), 6) AS value FROM x, range(0, 3) t(d) GROUP BY ALL""")
+ SELECT query, CAST(d AS INTEGER) AS dim, round(sum(w * CAST(v[d + 1] AS DOUBLE)) / sum(w), 6) AS value FROM x, range(0, 64) t(d) GROUP BY ALL""")
 def dense_attention(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     ask = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
-    cache = own.select(F.col("vec_id").alias("token"), F.col("v").alias("key"), F.slice("v", 1, 3).alias("value"))
-    out = K.attention(ask, cache, 2.0)
+    out = K.attention(ask, own.select(F.col("vec_id").alias("token"), F.col("v").alias("key"), F.col("v").alias("value")), 2.0)
     return out.select("query", F.posexplode("out").alias("dim", "value")).select("query", "dim", r6("value"))
 
 
-@register("dense_attention_all", """WITH q AS (SELECT vec_id AS query, embedding FROM embeddings WHERE vec_id % 20 = 0),
- s AS (SELECT query, e.vec_id AS token, list_sum(list_transform(range(1, 65), lambda k: CAST(q.embedding[k] AS DOUBLE) * CAST(e.embedding[k] AS DOUBLE))) * 2.0 AS s, e.embedding AS v FROM q CROSS JOIN embeddings e),
- x AS (SELECT query, exp(s - max(s) OVER (PARTITION BY query)) AS w, v FROM s)
- SELECT query, CAST(d AS INTEGER) AS dim, round(sum(w * CAST(v[d + 1] AS DOUBLE)) / sum(w), 6) AS value FROM x, range(0, 64) t(d) GROUP BY ALL""")
-def dense_attention_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of whole value vectors; dense_attention has three of their dimensions, as its SQL."""
-    own = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    ask = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
-    out = K.attention(ask, own.select(F.col("vec_id").alias("token"), F.col("v").alias("key"), F.col("v").alias("value")), 2.0)
-    return out.select("query", F.posexplode("out").alias("dim", "value")).select("query", "dim", r6("value"))
+also("dense_attention", "dense_attention_all")
 
 
 def reach_sql(ctx: str, start: str) -> str:
@@ -409,7 +407,7 @@ def correlation_dimension(spark: SparkSession, d: str) -> DataFrame:
     return S.correlation_dimension(points, 0.01, 0.5, 20).select(F.round("dimension", 5).alias("dimension"))
 
 
-TOKENS = """t AS (SELECT lang AS domain, doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM documents),
+TOKENS = r"""t AS (SELECT lang AS domain, doc_id, list_filter(list_transform(regexp_split_to_array(lower(trim(text)), '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: w <> '') AS ws FROM documents),
  tk AS (SELECT domain, doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM t)"""
 
 
@@ -426,14 +424,11 @@ def token_domain(spark: SparkSession, d: str) -> DataFrame:
 LEADS = " UNION ALL ".join(f"SELECT word AS a, lead(word, {k}) OVER (PARTITION BY domain ORDER BY doc_id, pos) AS b FROM tk" for k in range(1, 6))
 PAIRS = f"""WITH {TOKENS}, o AS (SELECT a, b, count(*) AS n FROM ({LEADS}) WHERE b IS NOT NULL AND a <> b GROUP BY ALL),
  co AS (SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT a, b, n FROM o UNION ALL SELECT b, a, n FROM o) GROUP BY ALL)"""
-VOCAB = "vc AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS token_id FROM (SELECT word, count(*) AS n FROM tk GROUP BY word HAVING count(*) >= 5) ORDER BY n DESC, word LIMIT 2000)"
+VOCAB = "vc AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS token_id FROM (SELECT word, count(*) AS n FROM tk GROUP BY word HAVING count(*) >= 5) ORDER BY n DESC, word LIMIT 20000)"
 PMI = f"""{PAIRS}, {VOCAB}, ij AS (SELECT p.token_id AS i, q.token_id AS j, n FROM co JOIN vc p ON p.word = a JOIN vc q ON q.word = b), ri AS (SELECT i, CAST(sum(n) AS DOUBLE) AS r FROM ij GROUP BY i), tt AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM ij),
  pm AS (SELECT ij.i, ij.j, GREATEST(0.0, ln(GREATEST(1e-10, CAST(n AS DOUBLE) * total / (p.r * q.r)))) AS pmi FROM ij JOIN ri p ON p.i = ij.i JOIN ri q ON q.i = ij.j, tt)"""
 
 
-PMI_ALL = PMI.replace("LIMIT 2000)", "LIMIT 20000)")
-
-
 @register("cooccurrence", f"{PAIRS} SELECT a, b, n FROM co")
 def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return C.cooccurrence(corpus(spark, d))
@@ -448,30 +443,43 @@ def pmi_rows(spark: SparkSession, d: str, most: int = 20_000) -> DataFrame:
 
 @register("pmi", f"{PMI} SELECT i, j, round(pmi, 6) AS pmi FROM pm WHERE pmi > 0")
 def pmi(spark: SparkSession, d: str) -> DataFrame:
-    return pmi_rows(spark, d, 2000).select("i", "j", r6("pmi"))
+    return pmi_rows(spark, d).select("i", "j", r6("pmi"))
 
 
-@register("pmi_all", f"{PMI_ALL} SELECT i, j, round(pmi, 6) AS pmi FROM pm WHERE pmi > 0")
-def pmi_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of the whole vocabulary; pmi has 2,000 words of it, as its SQL."""
-    return pmi_rows(spark, d).select("i", "j", r6("pmi"))
+def top_pmi(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked by what both engines' logarithms agree in."""
+    return C.top_neighbours(pmi_rows(spark, d).withColumn("pmi", F.round("pmi", 9)), 20)
+
+
+TOP_PMI = f"{PMI}, rd AS (SELECT i, j, round(pmi, 9) AS pmi FROM pm WHERE pmi > 0), tp AS (SELECT i, j, pmi FROM rd QUALIFY row_number() OVER (PARTITION BY i ORDER BY pmi DESC, j) <= 20)"
 
 
-@register("topk_pmi", f"{PMI} SELECT i, round(sum(pmi), 4) AS total, count(*) AS n FROM (SELECT i, pmi FROM pm WHERE pmi > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY pmi DESC, j) <= 20) GROUP BY i")
+@register("topk_pmi", f"{TOP_PMI} SELECT i, j, round(pmi, 6) AS pmi FROM tp")
 def topk_pmi(spark: SparkSession, d: str) -> DataFrame:
-    top = C.top_neighbours(pmi_rows(spark, d, 2000), 20)
-    return top.groupBy("i").agg(F.round(F.sum("pmi"), 4).alias("total"), F.count("*").alias("n"))
+    return top_pmi(spark, d).select("i", "j", r6("pmi"))
 
 
-@register("topk_pmi_all", f"{PMI_ALL} SELECT i, round(sum(pmi), 4) AS total, count(*) AS n FROM (SELECT i, pmi FROM pm WHERE pmi > 0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY pmi DESC, j) <= 20) GROUP BY i")
+also("pmi", "pmi_all")
+
+
+@register("topk_pmi_all", f"{TOP_PMI} SELECT i, round(sum(pmi), 4) AS total, count(*) AS n FROM tp GROUP BY i")
 def topk_pmi_all(spark: SparkSession, d: str) -> DataFrame:
-    top = C.top_neighbours(pmi_rows(spark, d), 20)
-    return top.groupBy("i").agg(F.round(F.sum("pmi"), 4).alias("total"), F.count("*").alias("n"))
+    return top_pmi(spark, d).groupBy("i").agg(F.round(F.sum("pmi"), 4).alias("total"), F.count("*").alias("n"))
+
 
+SENSES = f"""{TOP_PMI.replace('WITH t AS', 'WITH RECURSIVE t AS', 1)}, nb AS (SELECT i AS center, j AS node FROM tp), lk AS (SELECT DISTINCT LEAST(i, j) AS u, GREATEST(i, j) AS v FROM tp WHERE i <> j),
+ l2 AS (SELECT u, v FROM lk UNION ALL SELECT v, u FROM lk), ins AS MATERIALIZED (SELECT p.center, p.node AS u, q.node AS v FROM nb p JOIN l2 ON l2.u = p.node JOIN nb q ON q.center = p.center AND q.node = l2.v),
+ r AS (SELECT center, node AS u, node AS v FROM nb UNION SELECT r.center, r.u, ins.v FROM r JOIN ins ON ins.center = r.center AND ins.u = r.v),
+ lab AS (SELECT center, u AS node, min(v) AS comp FROM r GROUP BY ALL), sz AS (SELECT center, comp, count(*) AS s FROM lab GROUP BY ALL),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY center ORDER BY s DESC, comp) - 1 AS nth, count(*) OVER (PARTITION BY center) AS many FROM sz),
+ kp AS (SELECT *, s >= 4 AND nth < 4 AS keep FROM rk), nm AS (SELECT *, CASE WHEN many = 1 THEN 0 WHEN keep THEN nth ELSE count(*) FILTER (WHERE keep) OVER (PARTITION BY center) END AS sense FROM kp),
+ few AS (SELECT center FROM nb GROUP BY center HAVING count(*) < 2)"""
 
-@register("senses")
+
+@register("senses", f"""{SENSES} SELECT lab.center, CAST(sense AS INTEGER) AS sense, node AS member FROM lab JOIN nm ON nm.center = lab.center AND nm.comp = lab.comp WHERE lab.center NOT IN (SELECT center FROM few)
+ UNION ALL SELECT center, 0, NULL FROM few""")
 def senses(spark: SparkSession, d: str) -> DataFrame:
-    return C.senses(stored(C.top_neighbours(pmi_rows(spark, d), 20), "top")[0])
+    return C.senses(stored(top_pmi(spark, d), "top")[0])
 
 
 @register("walker_paths")
@@ -482,12 +490,12 @@ def walker_paths(spark: SparkSession, d: str) -> DataFrame:
 
 WALK = f"""{GRAPH}, od AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS ord, count(*) OVER (PARTITION BY src) AS degree, w FROM edges),
  nn AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS nth FROM nodes), ss AS (SELECT CAST(k AS BIGINT) AS walker, id AS node FROM range(0, 20) t(k) JOIN nn ON nth = (k * 137) % (SELECT count(*) FROM nodes)),
- wk AS (SELECT walker, 0 AS step, node FROM ss UNION ALL SELECT wk.walker, wk.step + 1, od.dst FROM wk JOIN od ON od.src = wk.node AND od.ord = (wk.node + wk.step + 1) % od.degree WHERE wk.step < 10)"""
+ wk AS (SELECT walker, 0 AS step, node FROM ss UNION ALL SELECT wk.walker, wk.step + 1, od.dst FROM wk JOIN od ON od.src = wk.node AND od.ord = (wk.node + wk.step + 1) % od.degree WHERE wk.step < 30)"""
 
 
 def walks(spark: SparkSession, d: str) -> tuple[Graph, DataFrame]:
     g = embedding_graph(spark, d)
-    return g, stored(Wk.random_walk(g, Wk.episode_starts(g, 20), 10), "walks")[0]
+    return g, stored(Wk.random_walk(g, Wk.episode_starts(g, 20), 30), "walks")[0]
 
 
 @register("random_walk", f"{WALK} SELECT walker, step, node FROM wk")
@@ -495,11 +503,7 @@ def random_walk(spark: SparkSession, d: str) -> DataFrame:
     return walks(spark, d)[1]
 
 
-@register("random_walk_all", f"{WALK.replace('wk.step < 10', 'wk.step < 30')} SELECT walker, step, node FROM wk")
-def random_walk_all(spark: SparkSession, d: str) -> DataFrame:
-    """20 episodes of 30 steps; random_walk has 10 steps, as its SQL."""
-    g = embedding_graph(spark, d)
-    return Wk.random_walk(g, Wk.episode_starts(g, 20), 30)
+also("random_walk", "random_walk_all")
 
 
 @register("path_edge_weight", f"{WALK}, pe AS (SELECT walker, lag(node) OVER (PARTITION BY walker ORDER BY step) AS src, node AS dst FROM wk) SELECT walker, round(coalesce(avg(w), 0), 6) AS mean_weight FROM pe LEFT JOIN od ON od.src = pe.src AND od.dst = pe.dst GROUP BY walker")
@@ -571,35 +575,40 @@ def int8_error(spark: SparkSession, d: str) -> DataFrame:
     return doubles(spark, d).select("vec_id", F.round(V.euclid(F.col("v"), V.quantized(F.col("v"), 255)), 6).alias("error"))
 
 
-@register("hadamard_rotate", """WITH x AS (SELECT vec_id, j, CAST(embedding[j + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) t(j)) SELECT vec_id, CAST(i AS INTEGER) AS i, round(sum(v * (1 - 2 * (bit_count(i & j) % 2))) / 8, 5) AS v FROM x, range(0, 64, 9) u(i) GROUP BY ALL""")
+@register("hadamard_rotate", """WITH x AS (SELECT vec_id, j, CAST(embedding[j + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) t(j)) SELECT vec_id, CAST(i AS INTEGER) AS i, round(sum(v * (1 - 2 * (bit_count(i & j) % 2))) / 8, 5) AS v FROM x, range(0, 64) u(i) GROUP BY ALL""")
 def hadamard_rotate(spark: SparkSession, d: str) -> DataFrame:
     own = doubles(spark, d).select("vec_id", F.posexplode(V.hadamard(F.col("v"))).alias("i", "v"))
-    return own.where("i % 9 = 0").select("vec_id", "i", F.round("v", 5).alias("v"))
+    return own.select("vec_id", "i", F.round("v", 5).alias("v"))
 
 
-@register("hadamard_rotate_all", """WITH x AS (SELECT vec_id, j, CAST(embedding[j + 1] AS DOUBLE) AS v FROM embeddings, range(0, 64) t(j)) SELECT vec_id, CAST(i AS INTEGER) AS i, round(sum(v * (1 - 2 * (bit_count(i & j) % 2))) / 8, 5) AS v FROM x, range(0, 64) u(i) GROUP BY ALL""")
-def hadamard_rotate_all(spark: SparkSession, d: str) -> DataFrame:
-    """All 64 coordinates; hadamard_rotate has every ninth, as its SQL."""
-    own = doubles(spark, d).select("vec_id", F.posexplode(V.hadamard(F.col("v"))).alias("i", "v"))
-    return own.select("vec_id", "i", F.round("v", 5).alias("v"))
+also("hadamard_rotate", "hadamard_rotate_all")
 
 
-@register("softmax_geometry", """WITH x AS (SELECT vec_id, k, CAST(embedding[k] AS DOUBLE) * 5 AS a, CAST(embedding[k + 4] AS DOUBLE) * 5 AS b FROM embeddings, range(1, 5) t(k)), s AS (SELECT vec_id, exp(a) / sum(exp(a)) OVER w AS p, exp(b) / sum(exp(b)) OVER w AS q FROM x WINDOW w AS (PARTITION BY vec_id))
+@register("softmax_geometry", """WITH x AS (SELECT vec_id, k, CAST(embedding[k] AS DOUBLE) * 5 AS a, CAST(embedding[k + 32] AS DOUBLE) * 5 AS b FROM embeddings, range(1, 33) t(k)), s AS (SELECT vec_id, exp(a) / sum(exp(a)) OVER w AS p, exp(b) / sum(exp(b)) OVER w AS q FROM x WINDOW w AS (PARTITION BY vec_id))
  SELECT vec_id, round(sum(p * ln(p / q)), 6) AS kl, round(2 * acos(LEAST(1.0, sum(sqrt(p * q)))), 5) AS fisher_rao, round(sum(p * (1 - p)), 6) AS fisher FROM s GROUP BY vec_id""")
 def softmax_geometry(spark: SparkSession, d: str) -> DataFrame:
-    scaled = lambda first: V.softmax(F.transform(F.slice("v", first, 4), lambda x: x * 5))
-    own = doubles(spark, d).select("vec_id", scaled(1).alias("p"), scaled(5).alias("q"))
+    scaled = lambda first: V.softmax(F.transform(F.slice("v", first, 32), lambda x: x * 5))
+    own = doubles(spark, d).select("vec_id", scaled(1).alias("p"), scaled(33).alias("q"))
     return own.select("vec_id", F.round(V.kl_divergence(F.col("p"), F.col("q")), 6).alias("kl"), F.round(V.fisher_rao(F.col("p"), F.col("q")), 5).alias("fisher_rao"), F.round(V.total(V.diagonal_fisher(F.col("p"))), 6).alias("fisher"))
 
 
-@register("gradient_descent")
+def descent_sql(natural: bool) -> str:
+    """Logits of every vector after eight steps towards class 1, unrolled."""
+    name, slope = ("n", "g / (p * (1 - p) + 0.0001)") if natural else ("v", "g")
+    out = [f"{name}0 AS (SELECT vec_id, k, CAST(embedding[k + 1] AS DOUBLE) AS l FROM embeddings, range(0, 64) t(k))"]
+    for k in range(8):
+        out.append(f"{name}{k + 1} AS MATERIALIZED (SELECT vec_id, k, l - 0.1 * {slope} AS l FROM (SELECT *, p - CASE WHEN k = 1 THEN 1 ELSE 0 END AS g FROM (SELECT vec_id, k, l, exp(l) / sum(exp(l)) OVER (PARTITION BY vec_id) AS p FROM {name}{k})))")
+    return ", ".join(out) + f", {name} AS (SELECT vec_id, k, exp(l) / sum(exp(l)) OVER (PARTITION BY vec_id) AS p FROM {name}8)"
+
+
+@register("gradient_descent", f"WITH {descent_sql(False)}, {descent_sql(True)} SELECT v.vec_id, round(v.p, 6) AS vanilla, round(n.p, 6) AS natural FROM v JOIN n ON n.vec_id = v.vec_id AND n.k = 1 WHERE v.k = 1")
 def gradient_descent(spark: SparkSession, d: str) -> DataFrame:
-    own = doubles(spark, d).select("vec_id", F.slice("v", 1, 4).alias("l"))
+    own = doubles(spark, d).select("vec_id", F.col("v").alias("l"))
     return own.select("vec_id", *[F.round(V.softmax(V.descend(F.col("l"), 1, natural=n))[1], 6).alias(k) for k, n in (("vanilla", False), ("natural", True))])
 
 
 def sales_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """(i, j, v): supplier nation by order month's quantity."""
+    """(i, j, v): quantity by supplier and part, both modulo 16."""
     own = table(spark, d, "lineitem").select((F.col("l_suppkey") % 16).cast("int").alias("i"), (F.col("l_partkey") % 16).cast("int").alias("j"), "l_quantity")
     return own.groupBy("i", "j").agg(F.sum("l_quantity").alias("v"))
 
@@ -610,6 +619,13 @@ def svd_reconstruct(spark: SparkSession, d: str) -> DataFrame:
     return K.matrix_error(m, K.low_rank(m, 4)).select(r6("error"))
 
 
+@register("outlier_quantisation_plain", """WITH m AS (SELECT l_suppkey % 16 AS i, l_partkey % 16 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), s AS (SELECT *, min(v) OVER (PARTITION BY i) AS lo, (max(v) OVER (PARTITION BY i) - min(v) OVER (PARTITION BY i)) / 15 AS sc FROM m),
+ q AS (SELECT v, GREATEST(0, LEAST(15, floor((v - lo) / CASE WHEN sc < 1e-6 THEN 1 ELSE sc END + 0.5))) * CASE WHEN sc < 1e-6 THEN 1 ELSE sc END + lo AS w FROM s) SELECT round(sqrt(sum((v - w) * (v - w))) / (sqrt(sum(v * v)) + 1e-8), 6) AS error FROM q""")
+def outlier_quantisation_plain(spark: SparkSession, d: str) -> DataFrame:
+    m = stored(sales_matrix(spark, d), "matrix")[0]
+    return K.matrix_error(m, K.row_quantized(m)).select(r6("error"))
+
+
 @register("outlier_quantisation")
 def outlier_quantisation(spark: SparkSession, d: str) -> DataFrame:
     m = stored(sales_matrix(spark, d), "matrix")[0]
@@ -625,20 +641,16 @@ def frobenius(spark: SparkSession, d: str) -> DataFrame:
     return K.frobenius(sales_matrix(spark, d)).select(F.round("norm", 4).alias("norm"))
 
 
-@register("mps_product_norm", """WITH s AS (SELECT label, vec_id, list_sum(list_transform(embedding[1:2], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) + 1 AS q FROM embeddings WHERE vec_id < 100) SELECT label AS chain, round(product(q), 6) AS norm_sq FROM s GROUP BY label""")
-def mps_product_norm(spark: SparkSession, d: str) -> DataFrame:
-    own = doubles(spark, d).where("vec_id < 100").join(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id")
-    sites = own.select(F.col("label").alias("chain"), F.col("vec_id").alias("site"), F.array(F.lit(1), F.lit(3), F.lit(1)).alias("shape"), F.concat(F.array(F.lit(1.0)), F.slice("v", 1, 2)).alias("data"))
-    return K.product_chain_norm(sites).select("chain", r6("norm_sq"))
-
-
 @register("mps_product_log_norm", """WITH s AS (SELECT label, list_sum(list_transform(embedding[1:2], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) + 1 AS q FROM embeddings) SELECT label AS chain, round(sum(ln(q)), 6) AS log_norm_sq FROM s GROUP BY label""")
 def mps_product_log_norm(spark: SparkSession, d: str) -> DataFrame:
-    """As mps_product_norm, of every vector: logarithms, as the product leaves the range of doubles."""
+    """Of every vector: logarithms, as the product leaves the range of doubles."""
     own = table(spark, d, "embeddings").select(F.col("label").alias("chain"), F.col("vec_id").alias("site"), F.array(F.lit(1), F.lit(3), F.lit(1)).alias("shape"), F.concat(F.array(F.lit(1.0)), F.slice(F.col("embedding").cast("array<double>"), 1, 2)).alias("data"))
     return K.product_chain_log_norm(own).select("chain", r6("log_norm_sq"))
 
 
+also("mps_product_log_norm", "mps_product_norm")
+
+
 @register("primes", "WITH n AS (SELECT unnest(range(2, 5001)) AS p) SELECT p FROM n WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 71)) AS q) WHERE q < p AND p % q = 0)")
 def primes(spark: SparkSession, d: str) -> DataFrame:
     return N.primes(spark, 5000)

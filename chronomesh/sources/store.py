@@ -25,7 +25,7 @@ def corpus_text(spark: SparkSession, spec: str) -> DataFrame:
     if not sep or not domain or not path:
         raise ValueError(f"{spec!r} is not name:path")
     files = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.input_file_name().alias("file"))
-    return files.select(F.lit(domain).alias("domain"), F.xxhash64("file").alias("doc_seq"), "text")
+    return files.select(F.lit(domain).alias("domain"), F.col("file").alias("doc_seq"), "text")
 
 
 def dataset_spec(spec: str) -> dict:
