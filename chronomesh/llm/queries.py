@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation import op13_conversations
 from .decontaminate import op3_decontamination
 from .huffman import op7_token_files
 from .imatch import op5_imatch
@@ -15,7 +16,9 @@ from .pieces import op8_pieces
 from .pii import op4_pii
 from .quality import op9_quality
 from .simhash import op1_simhash
+from .toxicity import op12_toxicity
 from .warc import op10_warc
+from .whitening import op11_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces,
         "op9_quality": op9_quality,
         "op10_warc": op10_warc,
+        "op11_whitening": op11_whitening,
+        "op12_toxicity": op12_toxicity,
+        "op13_conversations": op13_conversations,
     }
 
 
