@@ -288,55 +288,69 @@ def strong_components(graph: Graph, context: Context = Context()) -> DataFrame:
     return reduce(DataFrame.unionByName, done) if done else left.withColumn("component", F.col("node"))
 
 
-_CUTS = "component bigint, kind string, u bigint, v bigint"
+def forest(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, level, parent), stored: a breadth-first tree of each component from its smallest node, whose parent is null.
+
+    ``links`` are distinct (u < v); a parent is the smallest neighbour one level up.
+    """
+    roots = component_labels(nodes, links).where("node = component").select("node")
+    both, _ = stored(links.select(F.col("u").alias("src"), F.col("v").alias("dst")).union(links.select(F.col("v").alias("src"), F.col("u").alias("dst"))), "both")
+    level, _ = stored(reach(both, roots), "levels")
+    above = level.select(F.col("node").alias("src"), F.col("level").alias("above"))
+    up = (
+        both.join(above, "src").join(level.withColumnRenamed("node", "dst"), "dst").where("above = level - 1")
+        .groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+    )
+    return stored(level.join(up, "node", "left"), "forest")[0]
+
+
+def blocks(links: DataFrame, tree: DataFrame) -> DataFrame:
+    """(node, block), stored: the biconnected block of the tree edge above each node that is no root.
+
+    Tarjan and Vishkin's auxiliary graph over a breadth-first forest, where an edge outside the forest joins nodes at
+    most a level apart and never a node with its ancestor.  Such an edge puts the tree edges above its ends into one block.
+    Then its ends climb a level at a time until they meet; each step taken before they do shows a
+    way around the node stepped to, so the tree edges below and above that node are of one block as well.
+    Pairs of ends are made distinct at each level, and blocks are the components of what was joined.
+    """
+    own = tree.where("parent is not null")
+    for c in ("u", "v"):
+        links = links.join(own.select(F.col("node").alias(c), F.col("level").alias("l" + c), F.col("parent").alias("p" + c)), c, "left")
+    rest = links.where("not (pu <=> v or pv <=> u)")
+    low = F.when(F.col("lu") >= F.col("lv"), F.struct(F.col("u").alias("x"), F.col("pu").alias("px"), F.col("v").alias("y"), "lu", F.col("lv").alias("level")))
+    rest = rest.select(low.otherwise(F.struct(F.col("v").alias("x"), F.col("pv").alias("px"), F.col("u").alias("y"), F.col("lv").alias("lu"), F.col("lu").alias("level"))).alias("e")).select("e.*")
+    rest, _ = stored(rest, "outside")
+    slanted = F.col("lu") > F.col("level")
+    joined = [rest.select(F.col("x").alias("a"), F.col("y").alias("b")), rest.where(slanted).select(F.col("x").alias("a"), F.col("px").alias("b"))]
+    top = F.when(slanted, F.col("px")).otherwise(F.col("x"))
+    waiting, _ = stored(rest.select("level", F.least(top, "y").alias("a"), F.greatest(top, "y").alias("b")).distinct(), "waiting")
+    deepest = waiting.agg(F.max("level")).first()[0] or 0
+    climbing = waiting.where("false").select("a", "b")
+    parent = own.select("node", "parent")
+    for level in range(deepest, 1, -1):
+        here = waiting.where(F.col("level") == level).select("a", "b").union(climbing).distinct()
+        for c in ("a", "b"):
+            here = here.join(parent.select(F.col("node").alias(c), F.col("parent").alias("p" + c)), c)
+        here, _ = stored(here.where("pa <> pb"), "climbing")
+        joined += [here.select(c, "p" + c).toDF("a", "b") for c in ("a", "b")]
+        climbing = here.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        if len(joined) > 16:  # few tables to read
+            joined = [stored(reduce(DataFrame.union, joined).distinct(), "joined")[0]]
+    around = reduce(DataFrame.union, joined).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    return component_labels(own.select("node"), around).withColumnRenamed("component", "block")
 
 
 def cut_points(graph: Graph, context: Context = Context()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
     """((node) articulation points, (u, v) bridges) of the undirected projection of the allowed graph.
 
-    Components are found by distributed labels; low links need one depth-first order, so each
-    component is one task's work (a component must fit a task).
+    From the blocks of a breadth-first forest: a node at which edges of two blocks meet cuts, and a block of one
+    tree edge is a bridge.  All steps are joins and aggregates by node, whatever a component's size.
     """
     own = graph.within(context)
     links, _ = stored(undirected(own.edges), "links")
-    label = component_labels(own.nodes.select(F.col("id").alias("node")), links)
-
-    def low_links(pdf):
-        import pandas as pd
-
-        near: dict[int, list[int]] = {}
-        for u, v in zip(pdf["u"], pdf["v"], strict=True):
-            near.setdefault(u, []).append(v)
-            near.setdefault(v, []).append(u)
-        root = min(near)
-        depth, low, points, bridges, children = {root: 0}, {root: 0}, set(), [], 0
-        stack = [(root, None, iter(sorted(near[root])))]
-        while stack:
-            node, parent, rest = stack[-1]
-            for other in rest:
-                if other == parent:
-                    continue
-                if other in depth:
-                    low[node] = min(low[node], depth[other])
-                    continue
-                depth[other] = low[other] = len(stack)
-                children += node == root
-                stack.append((other, node, iter(sorted(near[other]))))
-                break
-            else:
-                stack.pop()
-                if parent is not None:
-                    low[parent] = min(low[parent], low[node])
-                    if low[node] > depth[parent]:
-                        bridges.append((min(node, parent), max(node, parent)))
-                    if parent != root and low[node] >= depth[parent]:
-                        points.add(parent)
-        if children > 1:
-            points.add(root)
-        c = int(pdf["component"].iloc[0])
-        rows = [(c, "point", p, p) for p in sorted(points)] + [(c, "bridge", u, v) for u, v in sorted(bridges)]
-        return pd.DataFrame(rows, columns=["component", "kind", "u", "v"])
-
-    cuts = links.join(label.withColumnRenamed("node", "u"), "u").groupBy("component").applyInPandas(low_links, _CUTS)
-    cuts, _ = stored(cuts, "cuts")
-    return cuts.where("kind = 'point'").select(F.col("u").alias("node")), cuts.where("kind = 'bridge'").select("u", "v")
+    tree = forest(links, own.nodes.select(F.col("id").alias("node")))
+    block, _ = stored(blocks(links, tree).join(tree, "node"), "blocks")
+    met = block.select("node", "block").union(block.select(F.col("parent").alias("node"), "block"))
+    points = met.groupBy("node").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("node")
+    alone = block.groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct("node", "parent")).alias("e")).where("n = 1")
+    return points, alone.select(F.least("e.node", "e.parent").alias("u"), F.greatest("e.node", "e.parent").alias("v"))
