@@ -146,15 +146,19 @@ FEW = 8  # members of a bucket that are all compared with one another
 
 def linked(
     items: DataFrame, near: Callable[[str, str], Column], texts: Callable[[DataFrame], DataFrame], similar: Callable[[DataFrame, DataFrame], DataFrame],
+    sets: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """(node, component) of the items (id, keys, ...) that are alike and share a key.
 
-    ``texts`` stores the text of given ids, with the other columns of the items.  ``similar`` stores those of its
-    pairs (a, b) that are alike; only pairs that are ``near`` by the items' other columns get there.  A bucket's members are first compared with the one of the largest id alone, its
-    hub.  Where that leaves members in different components, a bucket of FEW compares them all, and a larger one compares
-    them with two hubs more: the next by id, and one that its key picks.  So pairs are fewer than FEW
-    a row of (id, key), however large a bucket is.  Links inside a large bucket that none of its three hubs is part of
-    or connects can be lost in it; alike items share other buckets as well, with other hubs.
+    ``texts`` stores the text of given ids, with the other columns of the items, and ``sets`` gives (id, set array<bigint>) of such texts.
+    ``similar`` stores those of its pairs (a, b) that are alike, with a likeness of their sets of four fifths at least; only pairs
+    that are ``near`` by the items' other columns get there.
+
+    A bucket's members are first compared with the one of the largest id alone, its hub.  Where that leaves members in
+    different components, a bucket of FEW compares them all, and a larger one compares them with two hubs more: the next by id,
+    and one that its key picks.  Members of larger buckets that are still mixed get new keys, which alike sets
+    share without fail (``prefix_keys``): again members are compared with a hub first and then, where components still
+    differ, all with all.  So no link inside a bucket is lost, and large groups of copies cost in proportion.
     """
     spark = items.sparkSession
     paths = []
@@ -179,20 +183,57 @@ def linked(
             pairs = pairs.join(marks.select(F.col("id").alias(c), F.struct(*marks.columns).alias("of_" + c)), c)
         return similar(pairs.where(near("of_a", "of_b")).select("a", "b"), known)
 
+    def parted(rows: DataFrame, label: DataFrame) -> DataFrame:
+        return rows.join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
+
+    def mixed(rows: DataFrame, name: str) -> DataFrame:
+        """(bucket, id, part, n, next, drawn, hub) of the buckets whose members are in several parts, stored."""
+        size = rows.groupBy("bucket").agg(
+            F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.max("id").alias("next"),
+            F.max(F.col("id").bitwiseXOR(F.col("bucket"))).alias("drawn"), F.max(F.struct("id", "part")).alias("hub"),
+        ).where("low < high").select("bucket", "n", "next", F.col("drawn").bitwiseXOR(F.col("bucket")).alias("drawn"), "hub")
+        return kept(rows.join(size, "bucket"), name)
+
+    def all_pairs(rows: DataFrame) -> DataFrame:
+        rows = rows.select("bucket", "id", "part")
+        other = rows.select("bucket", F.col("id").alias("b"), F.col("part").alias("part_b"))
+        return rows.join(other, "bucket").where("part < part_b").select(F.col("id").alias("a"), "b")
+
     links = tested(met.select(F.col("id").alias("a"), F.col("hub").alias("b")))
     label = components(links)
-    named = met.join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-    size = named.groupBy("bucket").agg(
-        F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"),
-        F.max("id").alias("next"), F.max(F.col("id").bitwiseXOR(F.col("bucket"))).alias("drawn"),
-    ).where("low < high").select("bucket", "n", "next", F.col("drawn").bitwiseXOR(F.col("bucket")).alias("drawn"))
-    mixed = kept(named.join(size, "bucket"), "mixed")
-    few = mixed.where(F.col("n") <= FEW).select("bucket", "id", "part")
-    other = few.select("bucket", F.col("id").alias("b"), F.col("part").alias("part_b"))
-    pairs = few.join(other, "bucket").where("part < part_b").select(F.col("id").alias("a"), "b")
-    many = mixed.where(F.col("n") > FEW).select(F.col("id").alias("a"), F.explode(F.array("next", "drawn")).alias("b"))
-    pairs = pairs.union(many.where("a <> b"))
-    more = tested(pairs)
+    own = mixed(parted(met, label), "mixed")
+    many = own.where(F.col("n") > FEW)
+    hubs = many.select(F.col("id").alias("a"), F.explode(F.array("next", "drawn")).alias("b"))
+    more = tested(all_pairs(own.where(F.col("n") <= FEW)).union(hubs.where("a <> b")))
+    if not more.isEmpty():
+        links = links.union(more)
+        label = components(links)
+    own = mixed(parted(many.select("bucket", "id"), label), "mixed")
+    if not own.isEmpty():
+        keys = prefix_keys(sets(known.join(own.select("id").distinct(), "id", "left_semi")))
+        rows = kept(keys, "prefixes")
+        own = mixed(parted(rows, label), "mixed")
+        more = tested(own.where("part <> hub.part").select(F.col("id").alias("a"), F.col("hub.id").alias("b")))
+        if not more.isEmpty():
+            links = links.union(more)
+            label = components(links)
+            own = mixed(parted(rows, label), "mixed")
+        more = tested(all_pairs(own))
+        if not more.isEmpty():
+            label = components(links.union(more))
     for path in paths:
         drop_path(spark, path)
-    return label if more.isEmpty() else components(links.union(more))
+    return label
+
+
+def prefix_keys(sets: DataFrame) -> DataFrame:
+    """(id, bucket) such that two of the ``sets`` (id, set) with a likeness of 4/5 or more share a bucket.
+
+    Prefix filtering: what such sets have in common is 4/5 of either at least, so of each set's n - ceil(4n/5) + 1 elements that
+    come first in one order of all elements they share one.  The order begins with the elements that the fewest sets hold.
+    """
+    each = sets.select("id", F.explode(F.array_distinct("set")).alias("bucket"))
+    held = each.groupBy("bucket").agg(F.count("*").alias("n"))
+    first = each.join(held, "bucket").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("x"))
+    size = F.size("x")
+    return first.select("id", F.explode(F.slice("x", F.lit(1), size - F.expr("(4 * size(x) + 4) div 5").cast("int") + 1)).alias("e")).where("e.n > 1").select("id", "e.bucket")

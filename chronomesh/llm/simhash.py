@@ -276,10 +276,18 @@ def keep_first(docs: DataFrame) -> DataFrame:
         paths.append(path)
         return found
 
+    def sets(known: DataFrame) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [word_shingles(t.as_py()).astype(np.int64) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "set"])
+
+        return known.select("id", "text").mapInArrow(work, "id bigint, set array<bigint>")
+
     def near(a: str, b: str) -> Column:
         return chained(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp")), EIGHTHS, RADIUS)
 
-    label = linked(one.select("id", F.col("bands").alias("keys"), "fp"), near, texts, similar_texts)
+    label = linked(one.select("id", F.col("bands").alias("keys"), "fp"), near, texts, similar_texts, sets)
     named = one.join(label.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("component", "id").alias("component"))
     row = fresh(docs, "row")
     names = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))

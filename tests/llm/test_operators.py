@@ -84,7 +84,10 @@ def test_linked_loses_no_link(spark):
     never = {p for p in links if p[0] % 2 and p[1] % 2}
     for near, want in ((lambda a, b: F.lit(True), links), (lambda a, b: (F.col(f"{a}.odd") == 0) | (F.col(f"{b}.odd") == 0), links - never)):
         root = union_find(300, want)
-        label = {r.node: r.component for r in common.linked(items, near, lambda ids: items.drop("keys").join(ids, "id", "left_semi"), similar).collect()}
+        # alike items share an element; what they have besides is their own
+        shared = {x: [10**6 + k for k, p in enumerate(sorted(links)) if x in p] for x in range(300)}
+        of = spark.createDataFrame([(x, shared[x] or [x]) for x in range(300)], "id bigint, set array<bigint>")
+        label = {r.node: r.component for r in common.linked(items, near, lambda ids: items.drop("keys").join(ids, "id", "left_semi"), similar, lambda known: of.join(known, "id", "left_semi").select("id", "set")).collect()}
         assert label == {x: root[x] for p in want for x in p}
 
 
@@ -99,7 +102,9 @@ def test_large_buckets_cost_in_proportion(spark):
         return spark.createDataFrame([p for p in got if (p[0] - p[1]) % 2 == 0], "a bigint, b bigint")
 
     items = spark.createDataFrame(rows, "id bigint, keys array<bigint>")
-    label = common.linked(items, lambda a, b: F.lit(True), lambda ids: ids, similar).collect()
+    # sets of one kind share what the other has not
+    sets = lambda known: known.select("id", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: 10 * (F.col("id") % 2) + k).alias("set"))
+    label = common.linked(items, lambda a, b: F.lit(True), lambda ids: ids, similar, sets).collect()
     assert {r.node: r.component for r in label} == {x: x % 2 for x in range(200)} and sum(asked) < 8 * 600
 
 
@@ -172,7 +177,7 @@ def test_lines(docs, rows, empty):
     def grams(x):
         u = x.encode("utf-16-be")
         n = len(u) // 2
-        return {u[2 * i : 2 * i + 20] for i in range(max(1, n - 9))}
+        return {u} if n <= 10 else {u[2 * i : 2 * i + 10] for i in range(n - 4)}
 
     sets = [grams(x) for _, _, x in all_lines]
     root = union_find(len(sets), [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
@@ -183,6 +188,32 @@ def test_lines(docs, rows, empty):
     assert lines.dedup_lines(docs).columns == docs.columns and lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_one_template(spark):
+    # every other line is an edited copy; all share most of their text, so all fall into the same buckets
+    rng, rows = random.Random(3), []
+    head = prose(12, 40)[:100]
+    for k in range(150):
+        own = "".join(rng.choice("abcdefghij") for _ in range(rng.randint(14, 18)))
+        rows += [(2 * k, head + own), (2 * k + 1, head + own[:5] + "#" + own[6:])]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for _, t in rows]
+    root = union_find(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    kept = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id for r in kept if r.text} == {k for k in range(len(rows)) if root[k] == k}
+
+
+def test_prefix_keys_lose_no_pair(spark):
+    rng = random.Random(6)
+    sets = [[rng.randrange(40) for _ in range(rng.randint(1, 25))] for _ in range(120)]
+    sets += [s[:-1] + [99] for s in sets[:60]]
+    rows = common.prefix_keys(spark.createDataFrame(list(enumerate(sets)), "id bigint, set array<bigint>")).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.bucket, set()).add(r.id)
+    met = {p for ids in held.values() for p in itertools.combinations(sorted(ids), 2)}
+    alike = {(i, j) for i, j in itertools.combinations(range(180), 2) if 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
+    assert alike <= met and len(alike) > 30 and len(met) < 180 * 179 / 3
+
+
 def test_lines_with_one_edit(spark):
     rng, rows, want = random.Random(8), [], set()
     for k in range(120):
