@@ -85,8 +85,8 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else "file://" + uri)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Distributed union-find: (node, component), component being the smallest node reached.
+def components(edges: DataFrame, a: str = "a", b: str = "b", paths: list[str] | None = None) -> DataFrame:
+    """Distributed union-find: (node, component), component being the smallest node reached; its table's path is added to ``paths``.
 
     ``edges`` joins two long columns; nodes without an edge are not returned.
     Each round draws a new random order, points every node at the first of its
@@ -97,7 +97,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node: a hub with a third of all edges is combined before the shuffle, and AQE
     may split its side of a join.  Nothing but "is it empty" comes to the driver.
     """
-    spark = edges.sparkSession
+    spark, labels = edges.sparkSession, paths
     live, path = stored(
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges"
     )
@@ -135,13 +135,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     root, path = stored(root, "roots")
     paths.append(path)
     least = root.groupBy("root").agg(F.min("node").alias("component"))
-    label, _ = stored(root.join(least, "root").select("node", "component"), "labels")
+    label, path = stored(root.join(least, "root").select("node", "component"), "labels")
+    if labels is not None:
+        labels.append(path)
     for path in paths:
         drop_path(spark, path)
     return label
 
 
-FEW = 8  # members of a bucket that are all compared with one another
+FEW = 8  # pairs for each member that a bucket may compare all of
 
 
 def linked(
@@ -155,13 +157,13 @@ def linked(
     that are ``near`` by the items' other columns get there.
 
     A bucket's members are first compared with the one of the largest id alone, its hub.  Where that leaves members in
-    different components, a bucket of FEW compares them all, and a larger one compares them with two hubs more: the next by id,
-    and one that its key picks.  Members of larger buckets that are still mixed get new keys, which alike sets
-    share without fail (``prefix_keys``): again members are compared with a hub first and then, where components still
-    differ, all with all.  So no link inside a bucket is lost, and large groups of copies cost in proportion.
+    different components, only pairs across components matter.  A bucket with at most FEW of them a member compares them
+    all, and another one compares its members with two hubs more: the next by id, and one that its key picks.  Members of such buckets that
+    are still mixed get new keys, which alike sets share without fail (``prefix_keys``): again members are compared with a
+    hub first and then across components.  So no link inside a bucket is lost, and groups of copies cost in proportion to their size.
     """
     spark = items.sparkSession
-    paths = []
+    paths: list[str] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df, path = stored(df, name)
@@ -183,44 +185,46 @@ def linked(
             pairs = pairs.join(marks.select(F.col("id").alias(c), F.struct(*marks.columns).alias("of_" + c)), c)
         return similar(pairs.where(near("of_a", "of_b")).select("a", "b"), known)
 
-    def parted(rows: DataFrame, label: DataFrame) -> DataFrame:
-        return rows.join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-
-    def mixed(rows: DataFrame, name: str) -> DataFrame:
-        """(bucket, id, part, n, next, drawn, hub) of the buckets whose members are in several parts, stored."""
-        size = rows.groupBy("bucket").agg(
-            F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"), F.max("id").alias("next"),
-            F.max(F.col("id").bitwiseXOR(F.col("bucket"))).alias("drawn"), F.max(F.struct("id", "part")).alias("hub"),
-        ).where("low < high").select("bucket", "n", "next", F.col("drawn").bitwiseXOR(F.col("bucket")).alias("drawn"), "hub")
+    def mixed(rows: DataFrame, label: DataFrame, name: str) -> DataFrame:
+        """(bucket, id, part, largest, few, next, drawn) of the buckets (bucket, id) whose members are in several parts, stored."""
+        rows = rows.join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
+        each = rows.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.max("id").alias("next"), F.max(F.col("id").bitwiseXOR(F.col("bucket"))).alias("drawn"))
+        n = F.sum("n").cast("double")
+        size = each.groupBy("bucket").agg(
+            F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("largest"), (n * n - F.sum(F.col("n").cast("double") * F.col("n")) <= 2 * FEW * n).alias("few"),
+            F.max("next").alias("next"), F.max("drawn").alias("drawn"),
+        ).where("parts > 1").select("bucket", F.col("largest.part").alias("largest"), "few", "next", F.col("drawn").bitwiseXOR(F.col("bucket")).alias("drawn"))
         return kept(rows.join(size, "bucket"), name)
 
-    def all_pairs(rows: DataFrame) -> DataFrame:
-        rows = rows.select("bucket", "id", "part")
-        other = rows.select("bucket", F.col("id").alias("b"), F.col("part").alias("part_b"))
-        return rows.join(other, "bucket").where("part < part_b").select(F.col("id").alias("a"), "b")
+    def across(rows: DataFrame) -> DataFrame:
+        """Pairs of a bucket's members in different parts; one side is without the largest part, so few more are looked at."""
+        left = rows.where("part <> largest").select("bucket", F.col("id").alias("a"), F.col("part").alias("p"))
+        right = rows.select("bucket", F.col("id").alias("b"), F.col("part").alias("q"), (F.col("part") == F.col("largest")).alias("top"))
+        return left.join(right, "bucket").where("p <> q and (top or p < q)").select("a", "b")
 
     links = tested(met.select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    label = components(links)
-    own = mixed(parted(met, label), "mixed")
-    many = own.where(F.col("n") > FEW)
+    label = components(links, paths=paths)
+    own = mixed(met.select("bucket", "id"), label, "mixed")  # a hub has met all its bucket
+    many = own.where("not few")
     hubs = many.select(F.col("id").alias("a"), F.explode(F.array("next", "drawn")).alias("b"))
-    more = tested(all_pairs(own.where(F.col("n") <= FEW)).union(hubs.where("a <> b")))
+    more = tested(across(own.where("few")).union(hubs.where("a <> b")))
     if not more.isEmpty():
         links = links.union(more)
-        label = components(links)
-    own = mixed(parted(many.select("bucket", "id"), label), "mixed")
+        label = components(links, paths=paths)
+    own = mixed(many.select("bucket", "id"), label, "mixed")
     if not own.isEmpty():
-        keys = prefix_keys(sets(known.join(own.select("id").distinct(), "id", "left_semi")))
-        rows = kept(keys, "prefixes")
-        own = mixed(parted(rows, label), "mixed")
-        more = tested(own.where("part <> hub.part").select(F.col("id").alias("a"), F.col("hub.id").alias("b")))
+        rows = kept(prefix_keys(sets(known.join(own.select("id").distinct(), "id", "left_semi"))), "prefixes")
+        own = mixed(rows, label, "mixed")
+        more = tested(own.select(F.col("id").alias("a"), F.col("next").alias("b")).where("a <> b"))
         if not more.isEmpty():
             links = links.union(more)
-            label = components(links)
-            own = mixed(parted(rows, label), "mixed")
-        more = tested(all_pairs(own))
+            label = components(links, paths=paths)
+            own = mixed(rows, label, "mixed")
+        more = tested(across(own))
         if not more.isEmpty():
-            label = components(links.union(more))
+            links = links.union(more)
+            label = components(links, paths=paths)
+    label, _ = stored(label, "components")
     for path in paths:
         drop_path(spark, path)
     return label

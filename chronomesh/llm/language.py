@@ -25,7 +25,7 @@ from .common import file_system, fresh, row_key, scratch, stored, table
 ORDER = 4  # longest context, bytes
 SAMPLE = 400  # training documents a language at most, the first by hash of their id
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+MAYBE_LETTER = re.compile(r"[^\W\d_]")  # number signs as well
 CHUNK = 1 << 19
 MAX_BITS = 6.5  # a text that its best language needs more bits a byte for is in none of them
 
@@ -35,6 +35,11 @@ def encoded(text: str) -> bytes:
     return (text if text.isascii() else normalize("NFC", text)).lower().encode()
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode category L is in ``text``."""
+    return any(m[0].isalpha() for m in MAYBE_LETTER.finditer(text))
+
+
 def grams(raw: bytes) -> np.ndarray:
     """Every byte of ``raw`` with the ORDER bytes before it, as one number; line ends stand before the start."""
     b = np.frombuffer(b"\n" * ORDER + raw, np.uint8)
@@ -222,7 +227,7 @@ def predict(docs: DataFrame, model_uri: str) -> DataFrame:
         model = Model.load(model_uri)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            good = [bool(model.langs) and bool(LETTER.search(t)) for t in texts]
+            good = [bool(model.langs) and has_letter(t) for t in texts]
             raws = [encoded(t) if g else b"" for t, g in zip(texts, good, strict=True)]
             lang, score, rate = [UNKNOWN] * len(texts), np.zeros(len(texts)), [None] * len(texts)
             if model.langs:

@@ -450,6 +450,11 @@ class PlainPpm:
         return total
 
 
+def test_number_signs_are_no_letters():
+    assert not language.has_letter("²½ⅷ① 12_ !") and not language.has_letter("")
+    assert all(language.has_letter(t) for t in ("²a", "ß", "中", "ª", "1é"))
+
+
 def test_language_code_lengths(spark):
     stems = {"aa": "ta re mi so lu", "bb": "xu qo zik wam jeb", "cc": "éta ñor ßul öde çim"}
     taught = {lang: [prose(100 * n + k, 12, s) for k in range(5)] for n, (lang, s) in enumerate(stems.items())}
