@@ -89,14 +89,6 @@ def test_corpus_windows_cross_documents(spark):
     assert got == want
 
 
-def test_merges(spark):
-    counts = spark.createDataFrame([("low", 5), ("lower", 2), ("newest", 6), ("widest", 3)], "word string, n bigint")
-    merges = C.train_merges(counts, 3)
-    assert merges[0] == ("e", "s") and merges[1] == ("es", "t")
-    r = counts.where("word = 'newest'").select(C.encode_merges(F.col("word"), merges).alias("p")).first()
-    assert "".join(r.p) == "newest" and "est" in r.p
-
-
 def test_stream_equals_table(spark, tmp_path):
     spark.sql("select timestamp_ntz'2024-01-01 00:10:00' as ts, 'a' as event_type, 1.0D as value union all select timestamp_ntz'2024-01-01 02:10:00', 'a', 2.0D").select(
         F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(str(tmp_path / "ev"))
