@@ -143,7 +143,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", paths: list[str] |
     return label
 
 
-FEW = 8  # pairs for each member that a bucket may compare all of
+FEW = 32  # pairs for each member that a bucket may compare all of
+HUBS = 4  # members that a bucket with more is compared with first
 
 
 def linked(
@@ -158,9 +159,10 @@ def linked(
 
     A bucket's members are first compared with the one of the largest id alone, its hub.  Where that leaves members in
     different components, only pairs across components matter.  A bucket with at most FEW of them a member compares them
-    all, and another one compares its members with two hubs more: the next by id, and one that its key picks.  Members of such buckets that
-    are still mixed get new keys, which alike sets share without fail (``prefix_keys``): again members are compared with a
-    hub first and then across components.  So no link inside a bucket is lost, and groups of copies cost in proportion to their size.
+    all.  One with more compares its members with HUBS others, drawn by the hash of their ids, which is enough for near copies; if
+    components still differ by more pairs than FEW a member, its members get new keys, which alike sets share without fail
+    (``prefix_keys``), and are compared with a hub and then across components again.  So no link inside a bucket is lost, and
+    groups of copies cost in proportion to their size.
     """
     spark = items.sparkSession
     paths: list[str] = []
@@ -186,14 +188,15 @@ def linked(
         return similar(pairs.where(near("of_a", "of_b")).select("a", "b"), known)
 
     def mixed(rows: DataFrame, label: DataFrame, name: str) -> DataFrame:
-        """(bucket, id, part, largest, few, next, drawn) of the buckets (bucket, id) whose members are in several parts, stored."""
+        """(bucket, id, part, largest, few, hubs) of the buckets (bucket, id) whose members are in several parts, stored."""
         rows = rows.join(label.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
-        each = rows.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.max("id").alias("next"), F.max(F.col("id").bitwiseXOR(F.col("bucket"))).alias("drawn"))
+        drawn = [F.max(F.struct(F.xxhash64("id", F.lit(k)), "id")) for k in range(HUBS)]
+        each = rows.groupBy("bucket", "part").agg(F.count("*").alias("n"), *[d.alias(f"h{k}") for k, d in enumerate(drawn)])
         n = F.sum("n").cast("double")
         size = each.groupBy("bucket").agg(
             F.count("*").alias("parts"), F.max(F.struct("n", "part")).alias("largest"), (n * n - F.sum(F.col("n").cast("double") * F.col("n")) <= 2 * FEW * n).alias("few"),
-            F.max("next").alias("next"), F.max("drawn").alias("drawn"),
-        ).where("parts > 1").select("bucket", F.col("largest.part").alias("largest"), "few", "next", F.col("drawn").bitwiseXOR(F.col("bucket")).alias("drawn"))
+            *[F.max(f"h{k}").alias(f"h{k}") for k in range(HUBS)],
+        ).where("parts > 1").select("bucket", F.col("largest.part").alias("largest"), "few", F.array_distinct(F.array(*[f"h{k}.id" for k in range(HUBS)])).alias("hubs"))
         return kept(rows.join(size, "bucket"), name)
 
     def across(rows: DataFrame) -> DataFrame:
@@ -202,28 +205,31 @@ def linked(
         right = rows.select("bucket", F.col("id").alias("b"), F.col("part").alias("q"), (F.col("part") == F.col("largest")).alias("top"))
         return left.join(right, "bucket").where("p <> q and (top or p < q)").select("a", "b")
 
+    def with_hubs(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("id").alias("a"), F.explode("hubs").alias("b")).where("a <> b")
+
     links = tested(met.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+
+    def grown(pairs: DataFrame) -> None:
+        """Adds the alike ones of ``pairs`` to the links and names components anew."""
+        nonlocal links, label
+        more = tested(pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            label = components(links, paths=paths)
+
     label = components(links, paths=paths)
     own = mixed(met.select("bucket", "id"), label, "mixed")  # a hub has met all its bucket
     many = own.where("not few")
-    hubs = many.select(F.col("id").alias("a"), F.explode(F.array("next", "drawn")).alias("b"))
-    more = tested(across(own.where("few")).union(hubs.where("a <> b")))
-    if not more.isEmpty():
-        links = links.union(more)
-        label = components(links, paths=paths)
+    grown(across(own.where("few")).union(with_hubs(many)))
     own = mixed(many.select("bucket", "id"), label, "mixed")
     if not own.isEmpty():
-        rows = kept(prefix_keys(sets(known.join(own.select("id").distinct(), "id", "left_semi"))), "prefixes")
-        own = mixed(rows, label, "mixed")
-        more = tested(own.select(F.col("id").alias("a"), F.col("next").alias("b")).where("a <> b"))
-        if not more.isEmpty():
-            links = links.union(more)
-            label = components(links, paths=paths)
-            own = mixed(rows, label, "mixed")
-        more = tested(across(own))
-        if not more.isEmpty():
-            links = links.union(more)
-            label = components(links, paths=paths)
+        grown(across(own.where("few")))
+        left = own.where("not few").select("id").distinct()
+        if not left.isEmpty():
+            rows = kept(prefix_keys(sets(known.join(left, "id", "left_semi"))), "prefixes")
+            grown(with_hubs(mixed(rows, label, "mixed")))
+            grown(across(mixed(rows, label, "mixed")))
     label, _ = stored(label, "components")
     for path in paths:
         drop_path(spark, path)
