@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import struct
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from chronomesh.plans.model import EDGES, NODES, Graph
 
@@ -75,27 +80,91 @@ KV_HEADER = 32
 KV = "file string, layer int, head int, token int, key array<float>, value array<float>"
 
 
-def read_kv_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(file, layer, head, token, key, value) of dumps: a header (layers, heads, width, tokens), all keys, then all values, f32."""
-    def rows(batches):
+KV_SPLIT = 16 << 20  # bytes of keys that a task reads at a time, and of values
+
+
+@dataclass
+class KvRange(InputPartition):
+    """Some tokens of a layer of a dump, whose keys, like their values, are one run of bytes."""
+
+    file: str
+    shape: tuple[int, int, int, int]
+    layer: int
+    first: int
+    last: int
+
+
+class KvReader(DataSourceReader):
+    def __init__(self, path: str, split: int = KV_SPLIT):
+        self.path, self.split = path, split
+
+    def partitions(self) -> list[KvRange]:
+        """Ranges of all dumps of a file or folder, from their headers and lengths alone."""
+        from pyarrow import fs
+
+        system, base = opened(self.path)
+        info = system.get_file_info(base)
+        files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(base, recursive=True))
+        found = []
+        for f in sorted((f for f in files if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))), key=lambda f: f.path):
+            with system.open_input_file(f.path) as source:
+                layers, heads, width, tokens = shape = kv_header(source.read(KV_HEADER))
+            if f.size < KV_HEADER + 8 * layers * heads * width * tokens:
+                raise ValueError(f"{f.path} is cut off")
+            step = max(1, self.split // max(1, 4 * heads * width))
+            found += [KvRange(f.path, shape, layer, t, min(t + step, tokens)) for layer in range(layers) for t in range(0, tokens, step)]
+        return found
+
+    def read(self, part: KvRange | None) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                layers, heads, width, tokens = kv_header(content)
-                n = layers * tokens * heads * width
-                if len(content) < KV_HEADER + 8 * n:
-                    raise ValueError(f"{file} is cut off")
-                body = np.frombuffer(content, "<f4", 2 * n, KV_HEADER).reshape(2, layers, tokens, heads, width)
-                for layer in range(layers):
-                    at = [(h, t) for h in range(heads) for t in range(tokens)]
-                    yield pd.DataFrame({
-                        "file": file, "layer": layer, "head": [h for h, _ in at], "token": [t for _, t in at],
-                        "key": [body[0, layer, t, h] for h, t in at], "value": [body[1, layer, t, h] for h, t in at],
-                    })
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, KV)
+
+        if part is None:  # what Spark asks for where there are no partitions
+            return
+        layers, heads, width, tokens = part.shape
+        n, rows = part.last - part.first, heads * (part.last - part.first)
+        at = KV_HEADER + 4 * heads * width * (part.layer * tokens + part.first)
+        both = []
+        with opened(self.path)[0].open_input_file(part.file) as source:
+            for start in (at, at + 4 * layers * tokens * heads * width):
+                flat = np.frombuffer(source.read_at(4 * rows * width, start), "<f4")
+                cuts = np.arange(rows + 1, dtype=np.int32) * width
+                both.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.float32())))
+        head, token = np.tile(np.arange(heads, dtype=np.int32), n), np.repeat(np.arange(part.first, part.last, dtype=np.int32), heads)
+        layer = np.full(rows, part.layer, np.int32)
+        names = ["file", "layer", "head", "token", "key", "value"]
+        yield pa.RecordBatch.from_arrays([pa.array([part.file] * rows), pa.array(layer), pa.array(head), pa.array(token), *both], names)
+
+
+class KvDumps(DataSource):
+    """Cache dumps by byte ranges, so a dump of any size is read by many tasks."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "kv_dump"
+
+    def schema(self) -> str:
+        return KV
+
+    def reader(self, schema) -> KvReader:
+        return KvReader(self.options["path"], int(self.options.get("split", KV_SPLIT)))
+
+
+def opened(path: str):
+    """(pyarrow file system, path in it); a path without a scheme is a local one."""
+    from pyarrow import fs
+
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+
+
+def read_kv_dump(spark: SparkSession, path: str, split: int = KV_SPLIT) -> DataFrame:
+    """(file, layer, head, token, key, value) of dumps: a header (layers, heads, width, tokens), all keys, then all values, f32.
+
+    Raises where a file is no dump or cut off; an empty folder has no rows.
+    """
+    spark.dataSource.register(KvDumps)
+    return spark.read.format("kv_dump").option("split", split).load(path)
 
 
 def kv_header(content: bytes) -> tuple[int, int, int, int]:
