@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronomesh.functions.vectors import dot, euclid, quantized
+from chronomesh.operators.decompose import dense_rows, svd
 from chronomesh.operators.spatial import nearest
 
 
@@ -41,33 +42,12 @@ def frobenius(matrix: DataFrame) -> DataFrame:
     return matrix.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
 
 
-def svd_thin(matrix: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """U, s, Vt of (i, j, v): the columns' Gram matrix is summed on the cluster, only columns squared come back."""
-    gram = matrix.alias("a").join(matrix.alias("b"), F.col("a.i") == F.col("b.i")).groupBy(F.col("a.j").alias("p"), F.col("b.j").alias("q")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("g")).collect()
-    n = max(r.p for r in gram) + 1
-    g = np.zeros((n, n))
-    for r in gram:
-        g[r.p, r.q] = r.g
-    values, vectors = np.linalg.eigh(g)
-    order = np.argsort(-values)
-    s, v = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
-    spark = matrix.sparkSession
-    frame = spark.createDataFrame([(j, list(map(float, v[j]))) for j in range(n)], "j int, w array<double>")
-    rows = matrix.join(frame, "j").select("i", F.transform("w", lambda x: x * F.col("v")).alias("w"))
-    rows = rows.select("i", F.posexplode("w").alias("c", "x")).groupBy("i", "c").agg(F.sum("x").alias("x")).collect()
-    u = np.zeros((max(r.i for r in rows) + 1, n))
-    for r in rows:
-        u[r.i, r.c] = r.x / s[r.c] if s[r.c] > 1e-12 else 0.0
-    return u, s, v.T
-
-
 def low_rank(matrix: DataFrame, rank: int) -> DataFrame:
-    """(i, j, v) of the best approximation of this rank."""
-    u, s, vt = svd_thin(matrix)
-    spark = matrix.sparkSession
-    left = spark.createDataFrame([(i, list(map(float, u[i, :rank] * s[:rank]))) for i in range(len(u))], "i int, a array<double>")
-    right = spark.createDataFrame([(j, list(map(float, vt[:rank, j]))) for j in range(vt.shape[1])], "j int, b array<double>")
-    return matrix.select("i", "j").join(left, "i").join(right, "j").select("i", "j", dot(F.col("a"), F.col("b")).alias("v"))
+    """(i, j, v) of the best approximation of this rank of (i, j, v), in the places that it has."""
+    rows, n = dense_rows(matrix)
+    u, s, vt = svd(rows, n, rank)
+    right = matrix.sparkSession.createDataFrame([(j, (s * vt[:, j]).tolist()) for j in range(n)], "j int, b array<double>")
+    return matrix.select("i", "j").join(u, "i").join(F.broadcast(right), "j").select("i", "j", dot(F.col("u"), F.col("b")).alias("v"))  # a row a column
 
 
 def row_quantized(matrix: DataFrame, block: int = 16, levels: int = 16) -> DataFrame:

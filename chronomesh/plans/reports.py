@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from chronomesh.functions import numbers as N
 from chronomesh.functions import vectors as V
 from chronomesh.operators import corpus as C
+from chronomesh.operators import decompose as D
 from chronomesh.operators import learning as L
+from chronomesh.operators import octree as O
 from chronomesh.operators import structure as S
 from chronomesh.operators import tensor as K
 from chronomesh.operators import walker as Wk
@@ -173,3 +175,40 @@ def transfer_score(spark: SparkSession, d: str) -> DataFrame:
 @register("target_score", "SELECT round(avg(CASE WHEN abs(p_retailprice / 1300 - 1) < 0.1 THEN 1.0 ELSE 1 - abs(p_retailprice / 1300 - 1) END), 6) AS score FROM part")
 def target_score(spark: SparkSession, d: str) -> DataFrame:
     return N.target_score(table(spark, d, "part").select(F.col("p_retailprice").alias("value"), F.lit(1300.0).alias("target"))).select(r6("score"))
+
+
+@register("octree_knn", f"{A.knn_sql(5, False)} SELECT query, point, round(d, 6) AS d, nth FROM k")
+def octree_knn(spark: SparkSession, d: str) -> DataFrame:
+    nodes = embedding_nodes(spark, d)
+    found = O.nearest(nodes, O.build(nodes), 5)
+    return found.select("query", "point", r6("d"), F.col("nth").cast("bigint").alias("nth"))
+
+
+@register("octree_range", f"""WITH {A.NODES}, p AS (SELECT a.id AS a, c.id AS b, sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) + (a.z - c.z) * (a.z - c.z)) AS d
+ FROM nodes a JOIN nodes c ON a.id < c.id) SELECT a, b, round(d, 6) AS d FROM p WHERE d <= 0.1""")
+def octree_range(spark: SparkSession, d: str) -> DataFrame:
+    nodes = embedding_nodes(spark, d)
+    return O.within(nodes, O.build(nodes), 0.1).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), r6("d"))
+
+
+@register("svd_rebuild", "SELECT vec_id, CAST(k AS INTEGER) AS k, round(CAST(embedding[k + 1] AS DOUBLE), 6) AS value FROM embeddings, range(0, 64) t(k)")
+def svd_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """U S Vt of all vectors, whose entries are those of the vectors."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("row"))
+    u, s, vt = D.svd(rows, 64)
+    right = spark.createDataFrame([(k, (s * vt[:, k]).tolist()) for k in range(64)], "k int, b array<double>")
+    return u.join(F.broadcast(right)).select(F.col("i").alias("vec_id"), "k", F.round(V.dot(F.col("u"), F.col("b")), 6).alias("value"))  # a row a dimension
+
+
+@register("lowest_ricci")
+def lowest_ricci(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report: the five edges of the most negative Ollivier-Ricci curvature."""
+    return S.ricci(embedding_graph(spark, d, 0.05)).orderBy("curvature", "src", "dst").limit(5).select("src", "dst", r6("curvature"))
+
+
+@register("geometry_with_ricci")
+def geometry_with_ricci(spark: SparkSession, d: str) -> DataFrame:
+    """Information geometry of every edge beside its Ollivier-Ricci curvature."""
+    g = embedding_graph(spark, d, 0.05)
+    found = S.geometry_with_curvature(S.information_geometry(g)[1], S.ricci(g))
+    return found.select("src", "dst", r6("js_div"), r6("fisher_rao"), r6("curvature"))
