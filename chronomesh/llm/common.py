@@ -211,12 +211,19 @@ def linked(
     links = tested(met.select(F.col("id").alias("a"), F.col("hub").alias("b")))
 
     def grown(pairs: DataFrame) -> None:
-        """Adds the alike ones of ``pairs`` to the links and names components anew."""
-        nonlocal links, label
+        """Joins the components that alike ones of ``pairs`` link: a search over components, not over all links anew."""
+        nonlocal label
         more = tested(pairs)
-        if not more.isEmpty():
-            links = links.union(more)
-            label = components(links, paths=paths)
+        if more.isEmpty():
+            return
+        ends = more
+        for c in ("a", "b"):
+            ends = ends.join(label.select(F.col("node").alias(c), F.col("component").alias("of_" + c)), c, "left")
+        ends = kept(ends.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b")), "ends")
+        top = components(ends, "of_a", "of_b", paths).select(F.col("node").alias("component"), F.col("component").alias("over"))
+        new = ends.select(F.col("a").alias("node"), F.col("of_a").alias("component")).union(ends.select("b", "of_b")).distinct()
+        every = label.union(new.join(label, "node", "left_anti"))
+        label = kept(every.join(top, "component", "left").select("node", F.coalesce("over", "component").alias("component")), "labels")
 
     label = components(links, paths=paths)
     own = mixed(met.select("bucket", "id"), label, "mixed")  # a hub has met all its bucket
