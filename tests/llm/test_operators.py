@@ -577,7 +577,7 @@ def plain_language(rows):
 
     def known(t):
         raw = language.encoded(t or "")
-        return bool(language.LETTER.search(t or "")) and min(m.bits(raw) for m in models) <= language.MAX_BITS * len(raw)
+        return any(c.isalpha() for c in t or "") and min(m.bits(raw) for m in models) <= language.MAX_BITS * len(raw)
 
     return [r for r in rows if known(r["text"])]
 
