@@ -78,8 +78,9 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, cell: float, causal:
     n = points.count()
     few, late = (points, queries.where("false")) if n < k else (points.where("false"), queries)
     if causal and n >= k:
-        steps = points.groupBy("time_step").agg(F.count("*").alias("c"))
-        so_far = steps.select("time_step", F.sum("c").over(W.orderBy("time_step")).alias("c"))  # a row a step of time
+        # each step holds a point at least, so the first k steps hold k: a top-k, and a window over its rows
+        steps = points.groupBy("time_step").agg(F.count("*").alias("c")).orderBy("time_step").limit(k)
+        so_far = steps.select("time_step", F.sum("c").over(W.orderBy("time_step")).alias("c"))
         first = so_far.where(F.col("c") >= k).agg(F.min("time_step")).first()[0]
         few, late = points.where(F.col("time_step") < first), queries.where(F.col("time_step") >= first)
         early = queries.where(F.col("time_step") < first)
