@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -338,20 +338,21 @@ def nearest_to(nodes: DataFrame, x: float, y: float, z: float) -> DataFrame:
 def correlation_dimension(points: DataFrame, least: float, most: float, n: int) -> DataFrame:
     """(dimension): slope of ln C(r) on ln r over ``n`` log-spaced radii, C the share of pairs closer than r.
 
-    Pairs within the largest radius come from a grid join and are counted by the radius
-    that first exceeds them, so what is gathered is a row a radius.
+    Pairs are counted by the radius that first exceeds them, cell by cell of an octree: two cells whose distances all lie
+    between two radii count by their sizes, and only others are divided, down to points.
     """
-    from chronomesh.operators.spatial import near_pairs
+    from chronomesh.operators import octree
 
     step = (math.log(most) - math.log(least)) / (n - 1)
-    flat = points.select(F.col("idx").alias("id"), "x", "y", F.lit(0.0).alias("z"))
-    pairs = near_pairs(flat, flat, most).where("a_id < b_id")
+    flat = points.select(F.col("idx").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0.0).alias("z"))
     radii = points.sparkSession.range(n).select(F.col("id").alias("k"), F.exp(F.lit(math.log(least)) + F.col("id") * step).alias("r"))
-    # the first radius above the distance, put right at the edges of rounding
-    k0 = F.greatest(F.ceil((F.ln(F.greatest(F.col("d"), F.lit(1e-300))) - math.log(least)) / step), F.lit(0))
-    radius = F.exp(F.lit(math.log(least)) + k0 * step)
-    k = F.when(F.col("d") < radius, k0).otherwise(k0 + 1)
-    binned = pairs.select(k.alias("k")).groupBy("k").agg(F.count("*").alias("c"))
+
+    def first_above(d: Column) -> Column:
+        # put right at the edges of rounding
+        k0 = F.greatest(F.ceil((F.ln(F.greatest(d, F.lit(1e-300))) - math.log(least)) / step), F.lit(0))
+        return F.when(d < F.exp(F.lit(math.log(least)) + k0 * step), k0).otherwise(k0 + 1)
+
+    binned = octree.pair_counts(octree.build(flat, 256), first_above, n)  # fewer levels, as pairs of leaves are cheap
     total = points.count()
     counted = radii.join(binned, "k", "left").withColumn("below", F.sum(F.coalesce("c", F.lit(0))).over(W.orderBy("k")))
     share = F.col("below") / F.lit(total * (total - 1) / 2)
