@@ -60,3 +60,66 @@ def test_upper_median(spark, monkeypatch, case):
     rows = [(float(v),) for v in values] + [(None,)] * 9
     got = L.upper_median(spark.createDataFrame(rows, "value double").repartition(4), "value").collect()
     assert [r.median for r in got] == ([float(np.sort(values)[len(values) // 2])] if len(values) else [None])
+
+
+def test_texts_and_shards(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("one\ntwo")
+    (tmp_path / "t" / "b.txt").write_text("three")
+    got = store.corpus_text(spark, f"prose:{tmp_path}/t").orderBy("doc_seq").collect()
+    assert [(r.domain, r.text) for r in got] == [("prose", "one\ntwo"), ("prose", "three")]
+    for bad in ("prose", ":x", "x:"):
+        with pytest.raises(ValueError, match="name:path"):
+            store.corpus_text(spark, bad)
+    assert store.dataset_spec("code=place/of:sub|a,b") == {"domain": "code", "place": "place/of", "subset": "sub", "columns": ["a", "b"]}
+    assert store.dataset_spec("code=place")["columns"] == ["text"] and store.dataset_spec("code=place")["subset"] is None
+    with pytest.raises(ValueError, match="domain=place"):
+        store.dataset_spec("code")
+    spark.createDataFrame([("x", "y"), ("z", None)], "a string, b string").coalesce(1).write.parquet(f"{tmp_path}/place/sub")
+    texts = store.dataset_texts(spark, "code=place:sub|a,b", str(tmp_path))
+    assert sorted(r.text for r in texts.collect()) == ["x\ny", "z"]
+    assert [(r.domain, r.texts, r.chars) for r in store.shard_report(texts).collect()] == [("code", 2, 4)]
+
+
+def test_dimension_files_and_reports(spark, tmp_path):
+    import json
+
+    words = spark.createDataFrame([(3, "cat"), (12, "dög")], "token_id bigint, word string")
+    store.write_object(words, "token_id", "word", f"{tmp_path}/vocab")
+    assert sorted(map(tuple, store.read_vocab(spark, f"{tmp_path}/vocab").collect())) == [(3, "cat"), (12, "dög")]
+    (tmp_path / "fields.json").write_text(json.dumps({"node_fields": {"k": {"pos": [1, 2, 3], "dom_tid": 5}, "short": {"pos": [1], "dom_tid": 6}}}))
+    assert [tuple(r) for r in store.read_activations(spark, f"{tmp_path}/fields.json").collect()] == [(5000, 5, 1.0, 2.0, 3.0)]
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "n int, s string")
+    store.write_report(rows, f"{tmp_path}/r.csv")
+    assert sorted(x.value for x in spark.read.text(f"{tmp_path}/r.csv").collect() if x.value != "n,s") == ["1,a", "2,NA"]
+    for form, read in (("json", spark.read.json), ("parquet", spark.read.parquet)):
+        store.write_report(rows, f"{tmp_path}/r.{form}", form)
+        assert sorted((r.n, r.s) for r in read(f"{tmp_path}/r.{form}").collect()) == [(1, "a"), (2, None)]
+    from chronomesh.plans import query as Q
+
+    shown = json.loads(Q.envelope("demo", "what", [("MATCH", {"rows": rows.where("n = 1")})]))
+    assert shown["queries"] == [{"query": "MATCH", "result": {"rows": [{"n": 1, "s": "a"}]}}] and shown["demo"] == "demo"
+
+
+def test_generators_by_their_formulas(spark):
+    from chronomesh.sources import generators as G
+
+    cache = G.sine_cache(spark, 5, 12).orderBy("token").collect()
+    for r in cache:
+        raw = [np.sin((1 + 0.3 * m) * r.token * 0.2) if m < 8 else 0.0 for m in range(12)]
+        size = max(np.linalg.norm(raw), 1e-12)
+        assert np.allclose(r.key, np.array(raw) / size) and np.allclose(r.value[:8], [0.5 + 0.3 * np.sin((1 + 0.3 * m) * r.token * 0.2 + 1) for m in range(8)])
+    got = {(r.x, r.y) for r in G.julia_points(spark, 21, 30).collect()}
+    for k in range(441):
+        x, y = k % 21 / 20 * 3 - 1.5, k // 21 / 20 * 3 - 1.5
+        z, alive = complex(x, y), True
+        for _ in range(30):
+            z = z * z + complex(-0.745429, 0.113008)
+            if abs(z) ** 2 > 4:
+                alive = False
+                break
+        assert ((x, y) in got) == alive
+    grid = G.tensor_grid(spark, 2, 2, 1, 3)
+    assert grid.nodes.count() == 12 and grid.edges.where("begin_ts = end_ts").count() == 3 * 8 and grid.edges.where("end_ts > begin_ts").count() == 8
+    vectors = {r.id: r.v for r in G.attention_vectors(spark, 4, 6, 2).collect()}
+    assert np.allclose(vectors[2], [np.sin(1.4 + d * 1.3) * (8 if d == 2 else 1) for d in range(6)]) and np.allclose(vectors[1][2], np.sin(0.7 + 2.6))
