@@ -705,6 +705,13 @@ def position_classifier(spark: SparkSession, d: str) -> DataFrame:
     return L.position_classifier(own)[0].select("id", "target", "predicted", F.round("p_one", 3).alias("p_one"))
 
 
+@register("coordinate_branch")
+def coordinate_branch(spark: SparkSession, d: str) -> DataFrame:
+    """A token is a label of the embeddings: its learned place is the mean of its nodes."""
+    own = embedding_nodes(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("token_id")), "id")
+    return L.coordinate_branch(own.select("id", "token_id", "x", "y", "z"))[0].select("id", "token_id", *[F.round(c, 3).alias(c) for c in ("px", "py", "pz", "l2_error")])
+
+
 @register("tumbling_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_events(spark: SparkSession, d: str) -> DataFrame:
     return E.tumbling(table(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
