@@ -315,16 +315,21 @@ def degrees(graph: Graph) -> DataFrame:
     )
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """``ids`` (id, ...) with nth, the place of the row by id from 0: each range numbers its rows from what the ranges before it hold."""
+    ranges, _ = stored(ids.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "ranges")
+    size = ranges.groupBy("part").agg(F.count("*").alias("size"))
+    before = size.select("part", (F.sum("size").over(W.orderBy("part")) - F.col("size")).alias("before"))  # a row a partition
+    nth = F.row_number().over(W.partitionBy("part").orderBy("id")) - 1
+    own = ranges.withColumn("nth", nth).join(F.broadcast(before), "part")
+    return own.withColumn("nth", F.col("nth") + F.col("before")).drop("part", "before")
+
+
 def systematic_sample(graph: Graph, k: int) -> Graph:
     """Every (n div k)-th node by id, the first k; edges of sampled sources stay, wherever they lead."""
     n = graph.nodes.count()
     step = max(1, n // max(1, k))
-    ranges = graph.nodes.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id())
-    ranges, _ = stored(ranges, "ranges")
-    size = ranges.groupBy("part").agg(F.count("*").alias("size"))
-    before = size.select("part", (F.sum("size").over(W.orderBy("part")) - F.col("size")).alias("before"))  # a row a partition
-    nth = F.row_number().over(W.partitionBy("part").orderBy("id")) - 1
-    pick = ranges.withColumn("nth", nth).join(F.broadcast(before), "part").withColumn("nth", F.col("nth") + F.col("before"))
+    pick = numbered(graph.nodes.select("id"))
     ids = pick.where((F.col("nth") % step == 0) & (F.col("nth") < step * k)).select("id")
     return Graph(graph.nodes.join(ids, "id", "left_semi"), graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi"))
 

@@ -75,6 +75,9 @@ def reachable_in_order(graph: Graph, start: int, context: Context = Context()) -
     return reduce(DataFrame.unionByName, done)
 
 
+FRONTS = 8  # tables of a relaxation that are read together before they become one
+
+
 def relax(
     seeds: DataFrame, edges: DataFrame, key: list[str], value: str, offer: Column, keep: list[Column],
     prune: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
@@ -87,43 +90,57 @@ def relax(
     nothing changes; equal values keep what sorts first.  ``prune`` takes out of a round's offers those that the
     best values so far make useless.
     """
-    columns = seeds.columns
-    best, path = stored(seeds, "best")
-    front = best
+    columns, spark = seeds.columns, seeds.sparkSession
+    front, path = stored(seeds, "best")
     links = edges.select(F.col("src").alias("node"), *[F.col(c).alias("e_" + c) for c in edges.columns if c != "src"])
     rest = [c for c in columns if c not in (*key, "node", value)]
+    tables, paths = [front], [path]  # what was found, by rounds: a node's least value is in the last that has it
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*key, "node").agg(F.min(F.struct(value, *rest)).alias("s")).select(*key, "node", "s.*").select(columns)
+
+    def merged() -> DataFrame:
+        return least(reduce(DataFrame.unionByName, tables)) if len(tables) > 1 else tables[0]
+
     while True:
-        made = (
+        best = merged()
+        made = least(
             front.join(links, "node").withColumn("_offer", offer).where("_offer is not null")
             .select(*key, F.col("e_dst").alias("node"), F.col("_offer").alias(value), *keep)
-            .groupBy(*key, "node").agg(F.min(F.struct(value, *rest)).alias("s")).select(*key, "node", "s.*").select(columns)
         )
         made = prune(made, best) if prune else made
         old = best.select(*key, "node", F.col(value).alias("_old"))
-        front, front_path = stored(
+        front, path = stored(
             made.join(old, [*key, "node"], "left").where(F.col("_old").isNull() | (F.col(value) < F.col("_old"))).select(columns), "front"
         )
         if front.isEmpty():
+            paths.append(path)
             break
-        new, new_path = stored(
-            best.join(front.select(*key, "node"), [*key, "node"], "left_anti").select(columns).unionByName(front), "best"
-        )
-        drop_path(new.sparkSession, path)
-        best, path = new, new_path
-    return best
+        if len(tables) == FRONTS:
+            whole, whole_path = stored(best, "best")
+            for p in paths:
+                drop_path(spark, p)
+            tables, paths = [whole], [whole_path]
+        tables.append(front)
+        paths.append(path)
+    if len(tables) == 1:
+        drop_path(spark, paths.pop())
+        return tables[0]
+    whole, _ = stored(merged(), "best")
+    for p in paths:
+        drop_path(spark, p)
+    return whole
 
 
 def costed(own: Graph, context: Context) -> DataFrame:
     """(src, dst, cost) by graph_weight * weight + spatial_weight * distance + temporal_weight * waiting for the edge's begin, stored."""
-    place = own.nodes.select(F.col("id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
-    origin = own.nodes.select(F.col("id").alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"))
-    begin = context.window.start if context.window else 0
-    cost = (
-        context.graph_weight * F.col("weight") + context.spatial_weight * apart("a", "b")
-        + context.temporal_weight * F.greatest(F.col("begin_ts") - begin, F.lit(0))
-    )
-    edges = own.edges.join(origin, "src").join(place, "dst").groupBy("src", "dst").agg(F.min(cost).alias("cost"))
-    return stored(edges, "costs")[0]
+    begin, edges = context.window.start if context.window else 0, own.edges
+    cost = context.graph_weight * F.col("weight") + context.temporal_weight * F.greatest(F.col("begin_ts") - begin, F.lit(0))
+    if context.spatial_weight:  # else no place is asked for
+        for end, c in (("src", "a"), ("dst", "b")):
+            edges = edges.join(own.nodes.select(F.col("id").alias(end), *[F.col(x).alias(c + x) for x in "xyz"]), end)
+        cost = cost + context.spatial_weight * apart("a", "b")
+    return stored(edges.groupBy("src", "dst").agg(F.min(cost).alias("cost")), "costs")[0]
 
 
 def apart(a: str, b: str) -> Column:
@@ -155,8 +172,8 @@ def cheapest_paths(graph: Graph, asks: DataFrame, context: Context = Context())
 
     def prune(made: DataFrame, best: DataFrame) -> DataFrame:
         most = best.where("node = goal").select("ask", F.col("cost").alias("_most"))
-        near = made.join(place, "node").join(most, "ask", "left")
-        left = context.spatial_weight * apart("n", "g")
+        near = (made.join(place, "node") if context.spatial_weight else made).join(most, "ask", "left")
+        left = context.spatial_weight * apart("n", "g") if context.spatial_weight else F.lit(0.0)
         return near.where(F.col("_most").isNull() | (F.col("cost") + left < F.col("_most"))).select(made.columns)
 
     found = relax(
