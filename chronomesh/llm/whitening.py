@@ -69,7 +69,8 @@ def covariance(blocks: BlockMatrix, n: int) -> np.ndarray:
 
 def rows_of(blocks: BlockMatrix) -> DataFrame:
     """(index, v array<double>) of a matrix's rows; they don't pass through Python."""
-    rows = callMLlibFunc("getIndexedRows", blocks.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    matrix = blocks.toIndexedRowMatrix()  # a name for it: without one, the JVM may let go of the matrix before the call
+    rows = callMLlibFunc("getIndexedRows", matrix._java_matrix_wrapper._java_model)
     return MLUtils.convertVectorColumnsToML(rows, "vector").select("index", vector_to_array("vector").alias("v"))
 
 

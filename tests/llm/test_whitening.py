@@ -54,3 +54,21 @@ def test_without_variance(spark):
     assert whitening.whiten(df.where("false")).count() == 0
     huge = whitening.whiten(df.withColumn("embedding", F.transform("embedding", lambda e: e * 1e300))).collect()
     assert len(huge) == 10 and all(r.deviation is None for r in huge)
+
+
+def test_rows_of_a_matrix_outlive_a_collection(spark, monkeypatch):
+    """The JVM's matrix is held until its rows are asked for, whenever Python collects garbage."""
+    import gc
+    import time
+
+    call, x = whitening.callMLlibFunc, made(30, 3)
+
+    def late(name, *args):
+        gc.collect()
+        time.sleep(0.5)  # the JVM is told in the background
+        return call(name, *args)
+
+    monkeypatch.setattr(whitening, "callMLlibFunc", late)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "index bigint, v array<double>")
+    got = {r["index"]: r["v"] for r in whitening.rows_of(whitening.block_matrix(df, 30, 3)).collect()}
+    assert np.allclose([got[k] for k in range(30)], x, atol=1e-12)
